@@ -5,12 +5,16 @@ from __future__ import annotations
 from tractlake.llm.decontaminate import OP8_SQL, op8_decontamination
 from tractlake.llm.line_rules import op7_quality_rules
 from tractlake.llm.mixing import op10_mixing
+from tractlake.llm.quality import op4_quality
 from tractlake.llm.secrets import op9_secrets
 from tractlake.llm.sharding import op1_sharding
+from tractlake.llm.toxicity import op5_toxicity
 from tractlake.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
