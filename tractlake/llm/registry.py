@@ -5,6 +5,7 @@ from __future__ import annotations
 from tractlake.llm.decontaminate import OP8_SQL, op8_decontamination
 from tractlake.llm.line_rules import op7_quality_rules
 from tractlake.llm.mixing import op10_mixing
+from tractlake.llm.ngram_join import OP2_SQL, op2_ngram_join
 from tractlake.llm.quality import op4_quality
 from tractlake.llm.secrets import op9_secrets
 from tractlake.llm.sharding import op1_sharding
@@ -13,6 +14,7 @@ from tractlake.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_ngram_join": op2_ngram_join,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op6_warc": OP6_SQL, "op8_decontamination": OP8_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op6_warc": OP6_SQL, "op8_decontamination": OP8_SQL}
