@@ -9,12 +9,14 @@ from tractlake.llm.ngram_join import OP2_SQL, op2_ngram_join
 from tractlake.llm.quality import op4_quality
 from tractlake.llm.secrets import op9_secrets
 from tractlake.llm.sharding import op1_sharding
+from tractlake.llm.suffix_dedup import op3_suffix_dedup
 from tractlake.llm.toxicity import op5_toxicity
 from tractlake.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
