@@ -341,7 +341,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
     base = base.withColumns({"uid": F.xxhash64("key", "text"), "doc": F.coalesce(F.col("key").cast("long"), F.lit(_LAST)), "n_bytes": F.octet_length("text").cast("long")})
     short = scratch.save(base.select("key", "uid", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "rows")
     found = anchors_of(base.where(F.col("n_bytes") >= LENGTH))
-    often = found.groupBy("kh").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # counts are saved, so that the join reads both sides anew and can split a K-gram of many places over tasks
+    often = scratch.save(found.groupBy("kh").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
     places = scratch.save(found.join(often, "kh"), "places")
     n_cold, n_hot = total(places, F.sum(F.when(F.col("c") <= hot, 1)), F.sum(F.when(F.col("c") > hot, 1)))
     texts = packed(base)
