@@ -8,7 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tractlake.shipping import ship
+
 ROW = "__row"
+#: Up to so many ids a table of them is broadcast, after counting it; beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
+#: Rows of the Arrow batches that Python operators get: texts are long, and a task holds several batches.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.count = ship(spark), f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[str, DataFrame]] = {}
 
     def path(self, name: str) -> str:
@@ -38,8 +44,13 @@ class Scratch:
         return f"{self.root}/{self.count}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        path, batch = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(batch)
+        self.spark.conf.set(batch, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(batch, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -60,6 +71,11 @@ def carried(df: DataFrame, *own: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {o.lower() for o in own}]
 
 
+def counted(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, to be broadcast in a join if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def total(df: DataFrame, *what: Column) -> tuple:
     return tuple(df.agg(*what).first())
 

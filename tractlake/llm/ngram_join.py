@@ -1,9 +1,9 @@
 """N-gram Jaccard join with prefix filters under several global orders of tokens.
 
 If two sets of shingles are similar enough, they share a token in their prefixes under any order of all tokens. Order
-one puts rare tokens first, by a sketch of frequencies; its prefixes are the index that makes candidates. Two more
-orders, by hashes, are filters: a candidate must share prefix tokens under them too. What passes all filters is
-verified on whole sets. Documents with equal sets are one class from the start.
+one puts rare tokens first, by a sketch of frequencies; its prefixes are the index that makes candidates. Under this
+order and two more, by hashes, a candidate must share as many prefix tokens as similar sets do. What passes the
+filters of all orders is verified on whole sets. Documents with equal sets are one class from the start.
 
 Candidates of a token need not be all pairs that have it. Its smallest class is a hub that meets every other; what
 links to the hub is then known to be connected, and only classes that are still apart meet later, in blocks of hubs,
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tractlake.llm.common import Scratch, components, table
+from tractlake.llm.common import Scratch, components, counted, table
 from tractlake.llm.textkernel import mix, shingle_sets, text_bytes
 
 #: Counters of the frequency sketch: its size is fixed, and so is what a task adds to it.
@@ -29,7 +29,7 @@ SKETCH = 1 << 16
 #: Tokens of fewer classes than this meet in all pairs at once; larger ones through hubs.
 SMALL = 8
 #: Hubs of the rounds after the first; the last number goes on.
-HUBS = (1, 4, 16, 64, 256)
+HUBS = (2, 16, 128, 1024)
 #: Hash orders beside the order by frequency.
 ORDERS = 2
 _SEEDS = mix(np.arange(101, 101 + ORDERS, dtype=np.uint64))
@@ -41,13 +41,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def first_by(keys: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` tokens first in the order of (key, token)."""
-    if count >= len(tokens):
-        return tokens
-    cut = np.partition(keys, count - 1)[count - 1]
-    below = tokens[keys < cut]
-    ties = np.sort(tokens[keys == cut])[: count - len(below)]
-    return np.concatenate([below, ties])
+    """The ``count`` tokens first in the order of (key, token), in that order."""
+    if count < len(tokens):
+        few = keys <= np.partition(keys, count - 1)[count - 1]
+        keys, tokens = keys[few], tokens[few]
+    return tokens[np.lexsort((tokens, keys))[:count]]
 
 
 def set_digest(tokens: np.ndarray) -> bytes:
@@ -102,40 +100,86 @@ def prefixes_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int, ke
     return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, prefix array<bigint>").where("prefix is not null")
 
 
-def filters_of(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """Key, whole set, and prefix tokens under each hash order."""
-    names = [f"p{j}" for j in range(ORDERS)]
+def filters_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
+    """Id, n, and prefix tokens under every order. Halves of tokens do; ``same`` is how many that makes equal at most."""
+    names = [f"p{j}" for j in range(ORDERS + 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches):
+        frequency = shared.value
+        for batch in batches:
+            columns: list[list] = [[] for _ in names]
+            sizes, same = [], []
+            for s in shingle_sets(text_bytes(batch.column(1)), k):
+                keys = [mix(s ^ seed) for seed in _SEEDS] + [frequency[(s >> np.uint64(48)).astype(np.int64)]]
+                found = [(first_by(x, s, prefix_length(len(s), percent)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in keys]
+                sizes.append(len(s))
+                same.append(max(len(x) - len(np.unique(x)) for x in found))
+                for column, x in zip(columns, found, strict=True):
+                    column.append(x.view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], ["id", "n", "same", *names])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, same long, " + ", ".join(f"{x} array<int>" for x in names))
+
+
+def enough_in_prefixes(percent: int):
+    """Whether prefixes share as many tokens under every order as similar sets must.
+
+    Similar sets share at least percent * (n + m) / (100 + percent) tokens. Of these, all that stand in the prefix
+    that ends first stand in the other too, and behind it there is room for the rest of its set only.
+    """
+    behind = F.greatest(*(F.ceil(percent * F.col(f"{x}_n") / 100) - 1 for x in "ab"))
+    needed = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent)) - behind - F.least("a_same", "b_same")
+    out = F.lit(True)
+    for j in range(ORDERS + 1):
+        out = out & (F.size(F.array_intersect(f"a_p{j}", f"b_p{j}")) >= needed)
+    return out
+
+
+def tokens_of(docs: DataFrame, k: int) -> DataFrame:
+    """Id and whole set."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                columns: list[list] = [[] for _ in range(ORDERS + 1)]
-                for s in shingle_sets(text_bytes(part.column(1)), k):
-                    columns[0].append(s.view(np.int64))
-                    for j in range(ORDERS):
-                        columns[j + 1].append(first_by(mix(s ^ _SEEDS[j]), s, prefix_length(len(s), percent)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], ["id", "tokens", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(text_bytes(batch.column(1)), k)], pa.list_(pa.int64()))], ["id", "tokens"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens array<bigint>")
 
-    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, tokens array<bigint>, " + ", ".join(f"{x} array<bigint>" for x in names))
 
+def place_of(n: str, pos: str):
+    """A row's size and the place of its token in its prefix, from 1, in one number."""
+    return F.col(n) * F.lit(1 << 32) + F.col(pos) + 1
 
-def similar_enough(n: str, m: str, percent: int):
-    """Whether two sets' sizes allow the similarity."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+def similar_enough(x: str, y: str, percent: int):
+    """Whether two rows of a token may be similar, by size, and by place if this is their first token in common.
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    Before their first common token they share nothing, so the rest of the shorter one bounds what they share. Where
+    it is not the first, the pair is judged at the first one instead.
+    """
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    rest = F.least(n - F.col(x).bitwiseAND((1 << 32) - 1), m - F.col(y).bitwiseAND((1 << 32) - 1))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((rest + 1) * (100 + percent) >= percent * (n + m))
+
+
+def with_both(scratch: Scratch, pairs: DataFrame, docs: DataFrame, of) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs with what ``of`` makes of both documents, and the tables to drop after use."""
+    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    made = scratch.save(of(docs.join(counted(ids), "id", "left_semi")), "made")
+    side = lambda s: made.select(*(F.col(c).alias(f"{s}_{c}") for c in made.columns))
+    return pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")), [ids, made]
+
+
+def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b, distinct) those that pass the hash orders' filters and are similar on whole sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = docs.join(ids, docs[key] == ids["id"], "left_semi")
-    sets = filters_of(chosen, k, percent, key, text)
-    side = lambda s: sets.select(*(F.col(c).alias(f"{s}_{c}") for c in sets.columns))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
-    for j in range(ORDERS):
-        both = both.where(F.arrays_overlap(f"a_p{j}", f"b_p{j}"))
+    both, used = with_both(scratch, pairs, docs, lambda d: filters_of(d, frequency, k, percent))
+    passed = scratch.save(both.where(enough_in_prefixes(percent)).select("a", "b"), "passed")
+    both, more = with_both(scratch, passed, docs, lambda d: tokens_of(d, k))
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b")
+    out = scratch.save(both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b"), "links")
+    for t in (*used, *more, passed):
+        scratch.drop(t)
+    return out
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,41 +201,43 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     member = classes.where("copies > 1")
     # one row for each class stands for it; where a key repeats with other sets, each set keeps its own row
     standing = known.join(member, "digest", "left").withColumn("cls", F.coalesce("cls", "id"))
-    representative = standing.where("id = cls").select("id").distinct()
+    copy = scratch.save(standing.where("id <> cls").select("id").distinct(), "copies")
     frequency = sketch_of(docs, k, "text")
     prefixes = prefixes_of(docs, frequency, k, percent, "id", "text").where("id is not null")
-    tokens = prefixes.join(representative, "id", "left_semi").select(F.explode("prefix").alias("token"), F.col("id").alias("cls"), "n")
-    heads = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    tokens = scratch.save(prefixes.join(counted(copy), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("id").alias("cls"), place_of("n", "pos").alias("place")), "tokens")
+    heads = scratch.save(tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "heads")
     lists = scratch.save(tokens.join(heads, "token"), "lists")
-    hub = lists.where("cls = hub").select("token", F.col("n").alias("hub_n"))
-    to_hub = lists.where("cls > hub").join(hub, "token").where(similar_enough("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    small = lists.where((F.col("m") > 2) & (F.col("m") < SMALL) & (F.col("cls") > F.col("hub"))).select("token", "cls", "n")
-    other = small.select("token", F.col("cls").alias("b"), F.col("n").alias("b_n"))
-    pairs_of_small = small.join(other, "token").where("cls < b").where(similar_enough("n", "b_n", percent)).select(F.col("cls").alias("a"), "b")
+    scratch.drop(tokens)
+    hub = lists.where("cls = hub").select("token", F.col("place").alias("hub_place"))
+    to_hub = lists.where("cls > hub").join(hub, "token").where(similar_enough("place", "hub_place", percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    small = lists.where((F.col("m") > 2) & (F.col("m") < SMALL) & (F.col("cls") > F.col("hub"))).select("token", "cls", "place")
+    other = small.select("token", F.col("cls").alias("b"), F.col("place").alias("b_place"))
+    pairs_of_small = small.join(other, "token").where("cls < b").where(similar_enough("place", "b_place", percent)).select(F.col("cls").alias("a"), "b")
     done = scratch.save(to_hub.union(pairs_of_small).distinct(), "pairs")
-    links = scratch.save(verified(done, docs, k, percent, "id", "text"), "links")
+    links = verified(scratch, done, docs, frequency, k, percent)
     # rows that repeat a key with another set tie their classes together
     ties = standing.where("cls <> id").select(F.col("id").alias("a"), F.col("cls").alias("b"))
     all_links, round_no = [links, ties], 0
     labels = scratch.save(components(scratch, union(all_links)), "components")
-    large = scratch.save(lists.where(F.col("m") >= SMALL).select("token", "cls", "n").where(F.col("cls") > F.col("hub")), "large")
+    large = scratch.save(lists.where(F.col("m") >= SMALL).where(F.col("cls") > F.col("hub")).select("token", "cls", "place"), "large")
     while True:
         # tokens whose classes are not all connected: what is left of them, by rank
-        now = large.join(labels, large["cls"] == labels["v"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("part"))
+        now = large.join(labels, large["cls"] == labels["v"], "left").select("token", "cls", "place", F.coalesce("component", "cls").alias("part"))
         open_ = now.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
         left = now.join(open_, "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("cls")))
         left = scratch.save(left, "left")
         if left.isEmpty():
             break
         hubs = HUBS[min(round_no, len(HUBS) - 1)]
-        hub = left.where(F.col("rank") <= hubs).select("token", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"), F.col("rank").alias("a_rank"))
-        pairs = left.join(hub, "token").where("rank > a_rank and part <> a_part").where(similar_enough("n", "a_n", percent)).select("a", F.col("cls").alias("b")).distinct()
+        hub = left.where(F.col("rank") <= hubs).select("token", F.col("cls").alias("a"), F.col("place").alias("a_place"), F.col("part").alias("a_part"), F.col("rank").alias("a_rank"))
+        pairs = left.join(hub, "token").where("rank > a_rank and part <> a_part").where(similar_enough("place", "a_place", percent)).select("a", F.col("cls").alias("b")).distinct()
         fresh = scratch.save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(fresh)
-        found = scratch.save(verified(fresh, docs, k, percent, "id", "text"), "links")
-        all_links.append(found)
-        labels = scratch.save(components(scratch, union(all_links)), "components")
-        large = scratch.save(left.where(F.col("rank") > hubs).select("token", "cls", "n"), "large")
+        found = verified(scratch, fresh, docs, frequency, k, percent)
+        if not found.isEmpty():
+            all_links.append(found)
+            labels = scratch.save(components(scratch, union(all_links)), "components")
+        large = scratch.save(left.where(F.col("rank") > hubs).select("token", "cls", "place"), "large")
         round_no += 1
     out = sets.join(member, "digest", "left").join(labels, F.col("id") == F.col("v"), "left")
     own = F.when(F.col("n") > 0, F.coalesce("cls", "id")).otherwise(F.col("id"))

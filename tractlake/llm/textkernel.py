@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes handled at once by the vectorised kernels.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _POWERS: dict[int, np.ndarray] = {}
 
 
