@@ -275,7 +275,7 @@ def spans_of_runs(runs: DataFrame, n_buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(merge, "uid long, first int, last int")
 
 
-def spans_of_hot(placed: DataFrame) -> DataFrame:
+def spans_of_hot(scratch: Scratch, placed: DataFrame) -> DataFrame:
     """The same for K-grams of very many places, which no task could hold: equal contexts first, then equal strings, by hash."""
 
     def whole(batches):
@@ -310,9 +310,10 @@ def spans_of_hot(placed: DataFrame) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["string", "doc", "uid", "pos", "offset"])
 
-    rows = placed.select("uid", "doc", "packed", "at").mapInArrow(whole, "context binary, doc long, uid long, pos int, right binary, left binary").dropDuplicates(["context", "uid", "pos"])
+    rows = placed.select("uid", "doc", "packed", "at").mapInArrow(whole, "context binary, doc long, uid long, pos int, right binary, left binary")
+    rows = scratch.save(rows.dropDuplicates(["context", "uid", "pos"]), "contexts")
     place = F.struct("doc", "uid", "pos")
-    firsts = rows.groupBy("context").agg(F.min(place).alias("first"))
+    firsts = scratch.save(rows.groupBy("context").agg(F.min(place).alias("first")), "firsts")
     rows = rows.join(firsts, "context")
     is_first = place == F.col("first")
     span = lambda low, high: [F.col("uid"), (F.col("pos") - high).cast("int").alias("first"), (F.col("pos") - low + LENGTH).cast("int").alias("last")]
@@ -354,7 +355,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = H
     n_buckets = max(1, -(-(n_cold or 0) // bucket))
     spans = spans_of_runs(sorted_runs(placed(F.col("c") <= hot), n_buckets), n_buckets)
     if n_hot:
-        spans = spans.union(spans_of_hot(placed(F.col("c") > hot)))
+        spans = spans.union(spans_of_hot(scratch, placed(F.col("c") > hot)))
     spans = scratch.save(spans, "spans")
     each = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
