@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tractlake.llm.common import table
 from tractlake.llm.textkernel import mix, shingle_sets, shingles_in_order, slices, sliding_min, text_bytes, word_hashes
+from tractlake.shipping import ship
 
 K, CONTAINED, HASHES = 5, 0.8, 32
 #: Items go to executors in blocks of about this many bytes of text; a larger benchmark makes more blocks.
@@ -117,6 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     either side give repeated pairs; an empty table on either side gives none. Every block of items meets every
     document; documents are neither shuffled nor cut. Other columns are not read.
     """
+    ship(docs.sparkSession)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, n_shingles long, n_common long, containment double"
     out = None
     for ids, texts in blocks_of(items, item_key, item_text, block_bytes):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tractlake.llm.common import carried, table
+from tractlake.shipping import ship
 
 #: Code points between two parts of one credential at most. A blank line also ends a scope.
 REACH = 200
@@ -96,6 +97,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows give repeated results; an empty table gives none. A text is scanned whole, row by row, so size of groups and
     ties make no difference, and other columns are not read.
     """
+    ship(docs.sparkSession)
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tractlake.llm.common import table
 from tractlake.llm.labelled import held_out, logistic, sigmoid
 from tractlake.llm.textkernel import text_bytes
+from tractlake.shipping import ship
 
 #: Labelled rows of either class that are learned from, at most.
 TRAIN_ROWS = 4000
@@ -161,6 +162,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """
     columns = [c for c in docs.columns if c.lower() != name.lower()]
     kept = docs.select(*(F.col(f"`{c}`") for c in columns))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
