@@ -241,7 +241,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
         round_no += 1
     out = sets.join(member, "digest", "left").join(labels, F.col("id") == F.col("v"), "left")
     own = F.when(F.col("n") > 0, F.coalesce("cls", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), own).alias("component_id"), own.alias("class_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), own)).alias("component_id"), F.when(F.col("id").isNotNull(), own).alias("class_id"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
