@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlake.llm.common import table
+from tractlake.llm.common import Scratch, table
 from tractlake.llm.textkernel import mix, shingle_sets, shingles_in_order, slices, sliding_min, text_bytes, word_hashes
 from tractlake.shipping import ship
 
@@ -141,10 +141,32 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
 ITEM_TYPES = {str: pa.string()}
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that contain an item; a document with a null key is judged like any other."""
-    hits = contained_items(docs, items, key=key, **options).select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hits, docs[key].eqNullSafe(hits["__hit"]), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, contained: float = CONTAINED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without those that contain an item.
+
+    Every row is judged by its own text: the key is not read, so it may be null or repeated. All columns pass through
+    Python. Where items make several blocks, what a block leaves is saved before the next, so that a worker holds one.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    out = saved = docs
+    for n, (ids, texts) in enumerate(blocks_of(items, item_key, item_text, block_bytes)):
+        if n:
+            before, saved = saved, scratch.save(out, "left")
+            out = saved
+            if n > 1:
+                scratch.drop(before)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, k))
+
+        def run(batches, shared=shared):
+            block = shared.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for at, *_ in block.search(text_bytes(batch.column(batch.schema.get_field_index(text))), contained):
+                    clean[at] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
