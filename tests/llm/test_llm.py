@@ -99,6 +99,18 @@ def test_ngram_join_edge_cases(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.linked(odd).collect()) == [(-1, -1), (1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+def test_ngram_join_repeated_keys_with_unequal_texts(spark):
+    w = lambda name, n=40: [f"{name}{i}" for i in range(n)]
+    a, b, c = " ".join(w("a")), " ".join(w("b")), " ".join(w("c"))
+    near_b, near_c = b + " more", c + " more"
+    schema = "doc_id long, text string"
+    out = ngram_join.linked(spark.createDataFrame([(3, a), (7, a), (7, b), (9, near_b)], schema), k=4, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(3, 3), (7, 3), (9, 3)}
+    # 7 stands for the class of b though it copies 3's set; 12 links to that class only
+    out = ngram_join.linked(spark.createDataFrame([(3, a), (7, a), (7, b), (8, b), (12, near_b), (20, c), (21, near_c)], schema), k=4, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(3, 3), (7, 3), (8, 3), (12, 3), (20, 20), (21, 20)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3)], "a long, b long")
     out = {r.v: r.component for r in components(Scratch(spark, "t"), edges).collect()}

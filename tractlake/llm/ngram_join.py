@@ -84,20 +84,21 @@ def sketch_of(docs: DataFrame, k: int, text: str) -> np.ndarray:
 
 
 def prefixes_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """Key, size and prefix tokens in the order by frequency of every row with a set."""
+    """Key, size, digest and prefix tokens in the order by frequency of every row with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
         frequency = shared.value
         for batch in batches:
-            sizes, prefixes = [], []
+            sizes, digests, prefixes = [], [], []
             for s in shingle_sets(text_bytes(batch.column(1)), k):
                 sizes.append(len(s))
+                digests.append(set_digest(s) if len(s) else None)
                 order = frequency[(s >> np.uint64(48)).astype(np.int64)]
                 prefixes.append(first_by(order, s, prefix_length(len(s), percent)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "prefix"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, prefix array<bigint>").where("prefix is not null")
+    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary, prefix array<bigint>").where("prefix is not null")
 
 
 def filters_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def with_both(scratch: Scratch, pairs: DataFrame, docs: DataFrame, of) -> tuple[
 
 
 def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b, distinct) those that pass the hash orders' filters and are similar on whole sets."""
+    """Of candidate pairs (a, b, distinct) of ids, all sets of either id compared, those that pass the hash orders' filters and are similar on whole sets."""
     both, used = with_both(scratch, pairs, docs, lambda d: filters_of(d, frequency, k, percent))
     passed = scratch.save(both.where(enough_in_prefixes(percent)).select("a", "b"), "passed")
     both, more = with_both(scratch, passed, docs, lambda d: tokens_of(d, k))
@@ -199,12 +200,12 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     known = sets.where("digest is not null and id is not null")
     classes = scratch.save(known.groupBy("digest").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("copies")), "classes")
     member = classes.where("copies > 1")
-    # one row for each class stands for it; where a key repeats with other sets, each set keeps its own row
+    # one set (id, digest) for each class stands for it; where a key repeats with other sets, each set keeps its own row
     standing = known.join(member, "digest", "left").withColumn("cls", F.coalesce("cls", "id"))
-    copy = scratch.save(standing.where("id <> cls").select("id").distinct(), "copies")
+    copy = scratch.save(standing.where("id <> cls").select("id", "digest").distinct(), "copies")
     frequency = sketch_of(docs, k, "text")
     prefixes = prefixes_of(docs, frequency, k, percent, "id", "text").where("id is not null")
-    tokens = scratch.save(prefixes.join(counted(copy), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("id").alias("cls"), place_of("n", "pos").alias("place")), "tokens")
+    tokens = scratch.save(prefixes.join(counted(copy), ["id", "digest"], "left_anti").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("id").alias("cls"), place_of("n", "pos").alias("place")), "tokens")
     heads = scratch.save(tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "heads")
     lists = scratch.save(tokens.join(heads, "token"), "lists")
     scratch.drop(tokens)
