@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tractlake.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from tractlake.llm.common import Scratch, table
+from tractlake.llm.textkernel import WORD_PATTERN
 
 SHARDS = 40
 
@@ -26,13 +27,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that 5-word shingles link at a similarity of 0.8, the one with the smallest id.
 
-    Documents without words, or without an id, are linked with nothing and stay.
+    Rows without words, or without an id, are linked with nothing and all stay, whatever else has their id. Rows with
+    words that share an id count as linked: the first of them by text stays.
     """
     groups = ngram_join.linked(docs, k=5, percent=80)
-    stays = groups.where("doc_id = component_id").select("doc_id").distinct()
+    apart = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    stays = groups.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    kept = docs.join(stays, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    kept = docs.where(~apart).join(stays, "doc_id", "left_semi").withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    return kept.union(docs.where(apart))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import pytest
 
@@ -29,6 +30,14 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert out and {"doc_id", "text", "shard", "slot"} <= set(out[0].__fields__) and {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()}
 
 
+def test_near_copies_keep_rows_without_words_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    apart = [(7, ""), (7, None), (8, " \t"), (8, " \t"), (None, a), (None, a), (None, "")]
+    rows = [*apart, (7, a), (3, b), (8, b + " more"), (5, "few words"), (9, "few  words")]
+    out = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert Counter(map(tuple, out.collect())) == Counter([*apart, (7, a), (3, b), (5, "few words")])
+
+
 def test_registered():
     have = entry.queries()
     assert "pipeline" in have and all(any(q.startswith(f"op{n}_") for q in have) for n in range(1, 11))
