@@ -184,6 +184,16 @@ def test_toxicity(spark, empty):
     assert toxicity.train(docs, labels.limit(0), label="y") is None and {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_all_windows(monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: given.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * size))
+    texts = [b" ".join(b"w%d" % (i * j) for j in range(6_000)) for i in range(1, 71)]
+    want = Counter(w for t in texts for w in toxicity.windows(t))
+    assert want.total() > 60_000
+    toxicity.ordinary_content(texts, [])
+    assert Counter(given) == want
+
+
 def test_quality(spark, empty):
     docs, labels = labelled_docs(spark, lambda rng, text: " ".join(w + "%%%" for w in text))
     out = quality.classify(docs, labels, label="y")

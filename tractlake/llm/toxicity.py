@@ -83,11 +83,11 @@ def toxic_stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def ordinary_content(ordinary: list[bytes], stems: list[bytes]) -> bytes:
-    """A trained dictionary of windows without those stems, which ordinary texts have now and then."""
+    """A dictionary trained on all windows without those stems, which ordinary texts have now and then."""
     samples = [w for t in ordinary for w in windows(t) if not any(s in b" " + w for s in stems)]
     random.Random(5).shuffle(samples)
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples[:60_000]).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: they are the dictionary
         return b"".join(samples)[:ORDINARY_BYTES]
 
