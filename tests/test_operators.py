@@ -140,6 +140,15 @@ def test_copy_metadata(spark, three):
         metadata.copy_metadata(Tractogram.from_lists(spark, [[(0, 0, 0)]]), three)
 
 
+def test_copy_metadata_conflicts(spark, three):
+    some = metadata.delete(three, dps=["w"], groups=["b"])
+    want = [(k, n) for k in ("dps", "dpv", "groups") for n in some.names(k)]
+    assert sorted(metadata.conflicts(some, three)) == sorted(want) and {k for k, _ in want} >= {"dps", "groups"}
+    assert metadata.conflicts(some, three, metadata.Selection(dps=["w"], groups=["b"])) == []
+    with pytest.raises(ArgumentError, match="group 'a'"):
+        metadata.copy_metadata(some, three, metadata.Selection(groups=["a"]))
+
+
 def test_append_and_delete(spark, three):
     from tractlake.model import Array
 

@@ -31,6 +31,21 @@ class Selection:
         return list(wanted) or names
 
 
+_CALLED = {"dps": "DPS", "dpv": "DPV", "groups": "group"}
+
+
+def _there(target: Tractogram, wanted: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Of the wanted names by kind, those that the target has: (kind, name)."""
+    have = {kind: set(target.names(kind)) if names else set() for kind, names in wanted.items()}
+    return [(kind, n) for kind, names in wanted.items() for n in names if n in have[kind]]
+
+
+def conflicts(target: Tractogram, donor: Tractogram, select: Selection | None = None) -> list[tuple[str, str]]:
+    """What ``copy_metadata`` would not copy unless it overwrites: (kind, name) of dps, dpv and groups on both sides."""
+    select = select or Selection()
+    return _there(target, {k: select.of(k, donor.names(k)) for k in _CALLED})
+
+
 def copy_metadata(target: Tractogram, donor: Tractogram, select: Selection | None = None, dpg: bool = False, overwrite: bool = False) -> Tractogram:
     """The target with the donor's attributes and groups. Counts must agree; a name that is there is an error unless overwritten."""
     select = select or Selection()
@@ -45,11 +60,8 @@ def copy_metadata(target: Tractogram, donor: Tractogram, select: Selection | Non
         if high is not None and high >= s:
             raise ArgumentError(f"group member {high} is out of range")
     if not overwrite:
-        have = {"DPS": (dps, target.dps), "DPV": (dpv, target.dpv), "group": (groups, target.names("groups") if groups else [])}
-        for kind, (wanted, there) in have.items():
-            for n in wanted:
-                if n in there:
-                    raise ArgumentError(f"{kind} '{n}' exists")
+        for kind, n in _there(target, {"dps": dps, "dpv": dpv, "groups": groups}):
+            raise ArgumentError(f"{_CALLED[kind]} '{n}' exists")
     out = target
     if dps or dpv:
         columns = [f"dps_{n}" for n in dps] + [f"dpv_{n}" for n in dpv]

@@ -262,7 +262,7 @@ def copy_metadata_merge(spark, sf):
 @query("SELECT * FROM (VALUES ('dps', 'weight'), ('dpv', 'fa')) AS t(kind, name)", None)
 def copy_metadata_conflicts(spark, sf):
     t = orders(spark, sf)
-    return spark.createDataFrame([(k, n) for k in ("dps", "dpv") for n in t.names(k) if n in t.names(k)], "kind string, name string")
+    return spark.createDataFrame(metadata.conflicts(t, t), "kind string, name string")
 
 
 @query("SELECT what, same FROM (VALUES ('nb_streamlines', false), ('nb_vertices', false), ('dimensions', true), ('dps', true), ('dpv', true), ('groups', true), ('dpg', true)) AS t(what, same)", None)
