@@ -24,5 +24,13 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(tuple, ours.select(columns).collect())) == sorted(tuple(x.item() if hasattr(x, "item") else x for x in r) for r in theirs.itertuples(index=False))
 
 
+@pytest.mark.parametrize("name", ["stream_build", "tck_roundtrip"])
+def test_files_are_in_the_shared_folder(spark, name, tmp_path, monkeypatch):
+    from tractlake.operators import near
+
+    monkeypatch.setattr(near, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert entry.queries()[name](spark, SMALL).count() > 0 and os.listdir(tmp_path / "shared")
+
+
 def test_sql_only_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tractlake.errors import ArgumentError
 from tractlake.functions import geometry as G
 from tractlake.model import Header, Tractogram
 from tractlake.operators import boxes, checks, concat, metadata, near, setops, subset
@@ -357,13 +359,23 @@ def cast_f16(spark, sf):
     return _points(cast_positions(events(spark, sf), "float16").streamlines)
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{near.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _through(spark: SparkSession, sf: str, ending: str) -> DataFrame:
-    """A tractogram written to a file of the driver's and read back."""
+    """A tractogram written by the driver to a file in the shared folder, which must be mounted, and read back."""
     from tractlake.sources import files
 
     t = events(spark, sf)
     ids = renumbered(t.streamlines.select("sl_id"), "sl_id", "new_id").select("new_id", F.col("sl_id").alias("old_id"))
-    path = os.path.join(tempfile.mkdtemp(prefix="tractlake-"), f"lines{ending}")
+    folder = _shared(spark, "through")
+    if urlsplit(folder).scheme not in ("", "file"):
+        raise ArgumentError(f"files are written and read through a mounted folder: {folder}")
+    folder = urlsplit(folder).path
+    os.makedirs(folder)
+    path = os.path.join(folder, f"lines{ending}")
     files.write_tractogram(subset.subset(t, ids, check=False), path)
     return _points(files.load(spark, path).streamlines)
 
@@ -428,7 +440,7 @@ def update_affine(spark, sf):
 def stream_build(spark, sf):
     from tractlake.streaming.builder import StreamBuilder
 
-    builder = StreamBuilder(spark, tempfile.mkdtemp(prefix="tractlake-") + "/built")
+    builder = StreamBuilder(spark, _shared(spark, "built"))
     t = orders(spark, sf)
     for i in (0, 1):
         builder.append(t.streamlines.where(F.col("sl_id") % 2 == i), i)
