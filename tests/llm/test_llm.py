@@ -132,12 +132,34 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_suffix_dedup(docs, rows, hot):
-    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot=hot, bucket=300).collect()}
+@pytest.mark.parametrize("bucket", [150_000, 300, 4])
+def test_suffix_dedup(docs, rows, bucket):
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, bucket=bucket).collect()}
     assert out == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("samples", [16, 1])
+def test_suffix_dedup_frequent_grams_over_borders(spark, monkeypatch, samples):
+    """A line and a passage in most documents, with other text around them: their K-grams fill many ranges."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLES", samples)
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    line, passage = prose(60), prose(300)
+    rows = [(i, prose(rng.randrange(0, 40)) + (line if i % 3 else passage[i % 50 :]) + prose(rng.randrange(0, 40))) for i in range(250)]
+    rows += [(250 + i, rows[i][1][rng.randrange(0, 20) :]) for i in range(0, 60, 3)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, bucket=8).collect()}
+    assert out == brute_repeats(rows)
+
+
+def test_merged_spans():
+    import numpy as np
+
+    spans = [(1, 1, 5, 9), (1, 1, 9, 12), (1, 1, 20, 30), (1, 1, 21, 25), (1, 2, 0, 3), (0, 1, 4, 5)]
+    assert suffix_dedup.merged_spans(np.array(spans)).tolist() == [[0, 1, 4, 5], [1, 1, 5, 12], [1, 1, 20, 30], [1, 2, 0, 3]]
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark, empty, rows):
     text = rows[0][1]
     twice = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ ROW = "__row"
 BROADCAST_IDS = 1_000_000
 #: Rows of the Arrow batches that Python operators get: texts are long, and a task holds several batches.
 BATCH_ROWS = 1_000
+BATCH, CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,14 +45,23 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path, batch = self.path(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(batch)
-        self.spark.conf.set(batch, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    @contextlib.contextmanager
+    def cleaning(self):
+        """Within it, texts come in small batches, and what a job shuffled is deleted once its result is written."""
+        before = {c: self.spark.conf.get(c) for c in (BATCH, CLEANUP)}
+        rows = int(before[BATCH])
+        self.spark.conf.set(BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            yield
         finally:
-            self.spark.conf.set(batch, before)
+            for c, value in before.items():
+                self.spark.conf.set(c, value)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        with self.cleaning():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
