@@ -17,6 +17,9 @@ from tractlake.llm.common import ROW, Scratch, carried, table, total
 RECORD_BYTES = 16
 #: Uncompressed bytes of a bucket: with the copies that sorting and shuffling make, a task needs a few times as much.
 BUCKET_BYTES = 16 << 20
+#: Buckets of a shuffle partition. They are gathered one after another, so a task holds one at a time.
+BUCKETS_PER_TASK = 8
+_HASH_AGG = "spark.sql.execution.useObjectHashAggregateExec"
 
 
 def record_size(text: str = "text"):
@@ -26,35 +29,51 @@ def record_size(text: str = "text"):
 def shard(docs: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All records with ``shard`` (0 to n_shards-1) and ``slot`` (gapless from 0 in each shard), in seeded random order.
 
-    The law that holds is that of rows: shards' counts are at most one apart. Records with equal key and text share a
-    bucket and are told apart only by their place; null keys and texts count as values of their own; an empty table
-    gives no rows. Other columns are carried, save ones named ``shard`` or ``slot``. The same rows, seed and bucket
-    size give the same shards, however the input is split. Results are read from tables in the shared folder.
+    The law that holds is that of rows: shards' counts are at most one apart. Records are scattered by a seeded hash of
+    key and text, so equal ones share a bucket; where they alone would fill more than one, they are spread by their place
+    in the input. Null keys and texts count as values of their own; an empty table gives no rows. Other columns are
+    carried whatever their names and types, save ones named ``shard`` or ``slot``. The same rows, seed and bucket size give
+    the same shards, however the input is split, unless records are spread by place: then the same splits do. Results are
+    read from tables in the shared folder.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
-    size = record_size(text)
-    _, n_bytes = total(docs, F.count(F.lit(1)), F.sum(size))
+    _, n_bytes = total(docs, F.count(F.lit(1)), F.sum(record_size(text)))
     n_buckets = max(1, -(-(n_bytes or 0) // bucket_bytes))
-    rows = docs.select(F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__hash"), F.struct(*carried(docs, "shard", "slot")).alias(ROW))
-    scattered = rows.withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)).cast("int")).repartitionById(n_buckets, F.col("__bucket"))
-    buckets = scattered.groupBy("__bucket").agg(F.array_sort(F.collect_list(F.struct("__hash", ROW))).alias("__rows"))
-    shuffled = buckets.select("__bucket", F.posexplode(F.shuffle("__rows", F.lit(seed))).alias("__pos", "__rec")).select("__bucket", "__pos", f"__rec.{ROW}.*")
-    shuffled = scratch.save(shuffled, "buckets")
-    counts = shuffled.groupBy("__bucket").count()
-    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    content = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    # the record is one column up to the end, so that no name of its own can clash
+    rows = docs.select(content.alias("hash"), F.struct(*carried(docs, "shard", "slot")).alias(ROW))
+    # equal records that fill more than a bucket: there are fewer of those than buckets, so their hashes may be broadcast
+    sizes = docs.select(content.alias("hash"), record_size(text).alias("size")).groupBy("hash").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    large = scratch.save(sizes.where((F.col("size") > bucket_bytes) & (F.col("n") > 1)).select("hash", F.lit(True).alias("large")), "large")
+    spread = F.when(F.col("large"), F.xxhash64("hash", F.monotonically_increasing_id())).otherwise(F.col("hash"))
+    rows = rows.join(F.broadcast(large), "hash", "left").select(spread.alias("hash"), ROW)
+    bucket = F.pmod("hash", F.lit(n_buckets)).cast("int")
+    n_tasks = -(-n_buckets // BUCKETS_PER_TASK)
+    scattered = rows.withColumn("bucket", bucket).repartitionById(n_tasks, F.pmod("bucket", F.lit(n_tasks))).sortWithinPartitions("bucket", "hash")
+    by_hash = lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(0)
+    buckets = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("hash", ROW)), by_hash).alias("rows"))
+    shuffled = buckets.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "rec")).select("bucket", "pos", F.col(f"rec.{ROW}").alias(ROW))
+    # sorted aggregation: buckets of a partition come one by one
+    before = spark.conf.get(_HASH_AGG)
+    spark.conf.set(_HASH_AGG, "false")
+    try:
+        shuffled = scratch.save(shuffled, "buckets")
+    finally:
+        spark.conf.set(_HASH_AGG, before)
+    counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each bucket: a sum over the table of buckets, not over records
-    bases = scratch.save(counts.select("__bucket", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("__base")), "bases")
-    n = shuffled.count()
+    bases = scratch.save(counts.select("bucket", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base")), "bases")
+    n = total(bases, F.sum("n"))[0] or 0
     each, more = divmod(n, n_shards)
-    place = F.col("__base") + F.col("__pos")
+    place = F.col("base") + F.col("pos")
     cut = F.lit(more * (each + 1))
     late = place >= cut
     step = F.lit(max(each, 1))
     number = F.when(late, F.lit(more) + F.floor((place - cut) / step)).otherwise(F.floor(place / F.lit(each + 1)))
     slot = F.when(late, F.pmod(place - cut, step)).otherwise(F.pmod(place, F.lit(each + 1)))
-    out = shuffled.join(bases, "__bucket")
-    return out.select(*carried(shuffled, "__bucket", "__pos"), number.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return shuffled.join(bases, "bucket").select(number.cast("int").alias("shard"), slot.cast("long").alias("slot"), ROW).select(f"{ROW}.*", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
