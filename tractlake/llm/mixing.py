@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tractlake.llm.common import Scratch, carried, table
+from tractlake.llm.common import ROW, Scratch, carried, table
 from tractlake.llm.textkernel import WORD_PATTERN
 
 #: Words of a block.
@@ -25,6 +25,10 @@ SHARDS = 64
 #: A source gives at most this many times its size.
 MOST = 3
 WEIGHTS = (1, 2, 3)
+#: Slots that one row unfolds into, and that a task maps.
+SLOT_RUN, SLOT_TASK = 100_000, 250_000
+#: Sources whose sizes and draws the driver may hold; a mix over more is refused.
+MOST_SOURCES = 100_000
 #: Up to so many sources their table is broadcast; beyond, Spark joins as it sees fit.
 BROADCAST_ROWS = 10_000
 
@@ -94,18 +98,22 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, seed: int =
     sources: source_no, source, source_size, target.
 
     Null text has no words, and nothing is taken from it; a null source is a source, last in order. Repeated rows are
-    packed one after another, each on its own. Carried columns named like an added one are left out. An empty table
-    gives empty results. Sources are few: their sizes, one row each, and a row for each source and output shard are
-    handled on the driver. All draws depend on rows and seed only; equal rows may swap what is taken from them.
+    packed one after another, each on its own. Other columns are carried whatever their names and types, but those named
+    like an added one are left out. An empty table gives empty results. Sources' sizes, one row each, and a row for each
+    source and output shard are handled on the driver: more than MOST_SOURCES sources are a ValueError. All draws depend
+    on rows and seed only; equal rows may swap what is taken from them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    own = ("size", "source_size", "target", "taken", "row_no", "source_no")
+    own = ("size", "source_size", "target", "taken", "row_no")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.select(*carried(docs, text, *own), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("__h"), F.monotonically_increasing_id().alias("row_no"))
+    # the input's columns are one column up to the end, so that no name of theirs can clash
+    rows = docs.select(F.struct(*carried(docs, text, *own)).alias(ROW), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row_no"))
     rows = scratch.save(rows, "sizes")
-    found = rows.groupBy(F.col(source).alias("s")).agg(F.sum("size"), F.count(F.lit(1))).collect()
-    found = sorted(found, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    found = rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    found = sorted(found, key=lambda r: (r[0] is None, str(r[0] or "").encode()))
     sizes = [r[1] for r in found]
     targets = water_fill(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))])
     blocks = [-(-s // block) for s in sizes]
@@ -113,18 +121,23 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, seed: int =
     quotas = [min(MOST * n, round(t * n / s)) if s else 0 for s, n, t in zip(sizes, blocks, targets, strict=True)]
     counts = draw_shards(quotas, n_shards, seed)
     starts = np.cumsum(counts, axis=0) - counts
-    sources = spark.createDataFrame([(i, r[0], r[1], t) for i, (r, t) in enumerate(zip(found, targets, strict=True))], f"source_no int, `{source}` string, source_size long, target double")
+    kind = docs.schema[source].dataType.simpleString()
+    sources = spark.createDataFrame([(i, r[0], r[1], t) for i, (r, t) in enumerate(zip(found, targets, strict=True))], f"source_no int, source {kind}, source_size long, target double")
     drawn = [(k, i, blocks[i], int(starts[k, i]), int(counts[k, i])) for k in range(n_shards) for i in range(len(found)) if counts[k, i]]
-    drawn = spark.createDataFrame(drawn, "shard int, source_no int, n_blocks long, first long, n long").repartition(1 + sum(quotas) // 100_000)
-    slots = drawn.select("shard", "source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    drawn = spark.createDataFrame(drawn, "shard int, source_no int, n_blocks long, first long, n long")
+    # a shard's slots of a source are unfolded in runs of bounded length, dealt over tasks
+    runs = drawn.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOT_RUN).cast("long")))).repartition(1 + sum(quotas) // SLOT_TASK)
+    slot = F.sequence(F.col("first") + F.col("lo"), F.col("first") + F.least(F.col("lo") + SLOT_RUN, "n") - 1)
+    slots = runs.select("shard", "source_no", "n_blocks", F.explode(slot).alias("slot"))
     slots = scratch.save(slots.select("shard", "source_no", "slot", F.pandas_udf(block_of, "long")("slot", "n_blocks", "source_no").alias("block_no")), "slots")
-    numbered = rows.join(F.broadcast(sources) if len(found) <= BROADCAST_ROWS else sources, rows[source].eqNullSafe(sources[source])).drop(sources[source])
+    few = sources.withColumnRenamed("source", "name")
+    numbered = rows.join(F.broadcast(few) if len(found) <= BROADCAST_ROWS else few, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     # a running sum of sizes in each source, in two levels so that a large source is spread over tasks
-    chunk = F.pmod(F.shiftright("__h", 8), F.lit(max(1, math.isqrt(sum(r[2] for r in found)))))
-    placed = numbered.where("size > 0").select("source_no", "row_no", "size", "__h", chunk.alias("chunk"))
+    chunk = F.pmod(F.shiftright("h", 8), F.lit(max(1, math.isqrt(sum(r[2] for r in found)))))
+    placed = numbered.where("size > 0").select("source_no", "row_no", "size", "h", chunk.alias("chunk"))
     bases = placed.groupBy("source_no", "chunk").agg(F.sum("size").alias("words"))
     bases = bases.select("source_no", "chunk", (F.sum("words").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("words")).alias("base"))
-    upto = F.sum("size").over(Window.partitionBy("source_no", "chunk").orderBy("__h", "row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("size").over(Window.partitionBy("source_no", "chunk").orderBy("h", "row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = placed.withColumn("upto", upto).join(bases, ["source_no", "chunk"])
     placed = placed.select("source_no", "row_no", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     covers = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
@@ -134,8 +147,8 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, seed: int =
     pieces = scratch.save(pieces.select("source_no", "block_no", "row_no", (first - F.col("start")).alias("first"), (last - first).alias("words")), "pieces")
     times = slots.groupBy("source_no", "block_no").agg(F.count(F.lit(1)).alias("times"))
     taken = pieces.join(times, ["source_no", "block_no"]).groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    documents = numbered.drop("__h", "source_no").join(taken, "row_no", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return {"documents": documents, "slots": slots, "pieces": pieces, "sources": sources}
+    documents = numbered.join(taken, "row_no", "left").select(f"{ROW}.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row_no")
+    return {"documents": documents, "slots": slots, "pieces": pieces, "sources": sources.withColumnRenamed("source", source)}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
