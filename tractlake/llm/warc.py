@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tractlake.llm.common import Scratch, table
 
 #: Block bytes of a segment, and records of a file: so a file has bounded size.
-SEGMENT_BYTES, FILE_RECORDS = 1 << 15, 512
+SEGMENT_BYTES, FILE_RECORDS = 1 << 12, 4096
 CHUNK_BYTES = 1 << 13
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
@@ -30,8 +30,8 @@ RECORD = "record_id string, warc_type string, page_id long, uri string, payload_
 PAYLOAD = "record_id string, warc_type string, page_id long, uri string, payload_digest string, refers_to_id string, payload binary, error string"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}|{digest}'.encode()).digest())}>"
+def record_id(page_id: int | None, digest: str, row_no: int) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}|{digest}|{row_no}'.encode()).digest())}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -63,14 +63,14 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"%b\r\n%bContent-Length: %d\r\n\r\n%b" % (VERSION, head, len(block), block)
 
 
-def segments(page_id, uri, payload: bytes, digest: str, first: int | None, limit: int) -> list[bytes]:
+def segments(page_id, uri, payload: bytes, digest: str, row_no: int, first: dict | None, limit: int) -> list[bytes]:
     """The records of one page: a revisit, a response, or a response's first segment and its continuations."""
-    rid = record_id(page_id, digest)
+    rid = record_id(page_id, digest, row_no)
     uri = None if uri is None else "".join(c for c in uri if c >= " ")
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("X-Page-ID", page_id)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if first is not None:
-        refers = [("WARC-Refers-To", record_id(first, digest)), ("WARC-Profile", PROFILE), ("WARC-Payload-Digest", f"sha256:{digest}")]
+        refers = [("WARC-Refers-To", record_id(first["page_id"], digest, first["row_no"])), ("WARC-Profile", PROFILE), ("WARC-Payload-Digest", f"sha256:{digest}")]
         return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", rid), *common, *refers], http)]
     block = http + chunked(payload)
     head = [("WARC-Type", "response"), ("WARC-Record-ID", rid), *common, ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -94,25 +94,26 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
 
     Of rows with equal payloads of at least REVISIT_BYTES, those with the smallest key are responses and the others
     revisit them. A null payload is empty; a null or odd URI is left out or stripped of control characters; a null key
-    is written without one and never referred to. Rows equal in key and payload are one capture. An empty table gives
-    an archive without records.
+    is written without one and never referred to. Every row is a record with an id of its own (made of key, digest and
+    place in the input), so rows equal in key and payload are two. An empty table gives an archive without records.
     """
-    rows = pages.select(F.col(key).alias("page_id"), F.col(uri).alias("uri"), payload_bytes(payload).alias("payload"))
+    rows = pages.select(F.col(key).alias("page_id"), F.col(uri).alias("uri"), payload_bytes(payload).alias("payload"), F.monotonically_increasing_id().alias("row_no"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row_no")))
+    firsts = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = rows.join(firsts, "digest", "left")
-    rows = rows.withColumn("first", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")))
+    rows = rows.withColumn("first", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first.page_id")), F.col("first")))
 
     def build(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                out += segments(row["page_id"], row["uri"], row["payload"], row["digest"], row["first"], segment_bytes)
+                out += segments(row["page_id"], row["uri"], row["payload"], row["digest"], row["row_no"], row["first"], segment_bytes)
             for i in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 256], pa.binary())], ["value"])
 
     # the closing blank lines are the line separator; a string column keeps the bytes as they are
-    made = rows.select("page_id", "uri", "payload", "digest", "first").mapInArrow(build, "value binary")
+    made = rows.select("page_id", "uri", "payload", "digest", "row_no", "first").mapInArrow(build, "value binary")
     made.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -211,22 +212,39 @@ def reassemble(records: DataFrame) -> DataFrame:
     return single.union(joined).mapInArrow(decode, PAYLOAD)
 
 
+def captures(scratch: Scratch, records: DataFrame) -> DataFrame:
+    """A row for each record of archives: page_id, payload_bytes, payload_digest, record_type, refers_to, error.
+
+    A revisit has the length of the response with its payload digest, whose smallest page it refers to. Broken records,
+    payloads that are not what their digest says, and revisits without a response stay, with an ``error`` and without
+    what is not known.
+    """
+    read = reassemble(records).select("page_id", "warc_type", F.col("payload_digest").alias("stated"), F.length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), "error")
+    read = scratch.save(read, "read")
+    read = read.withColumn("error", F.coalesce("error", F.when((F.col("warc_type") != "revisit") & (F.col("digest") != F.col("stated")), "payload has another digest")))
+    whole = F.col("error").isNull()
+    responses = read.where("warc_type is null or warc_type <> 'revisit'")
+    target = responses.where(whole).groupBy(F.col("digest").alias("stated")).agg(F.min("page_id").alias("refers_to"), F.first("n").alias("payload_bytes"))
+    revisits = read.where("warc_type = 'revisit'").select("page_id", "warc_type", "stated", "error").join(target, "stated", "left")
+    lost = F.coalesce("error", F.when(F.col("payload_bytes").isNull(), "no response has this payload"))
+    revisits = revisits.select("page_id", "payload_bytes", F.col("stated").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", lost.alias("error"))
+    own = responses.select("page_id", F.when(whole, F.col("n")).alias("payload_bytes"), F.when(whole, F.col("digest")).alias("payload_digest"), F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "error")
+    return own.union(revisits)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the archives: length and digest of its whole payload, and what it revisits."""
-    path = Scratch(spark, "warc").path("archives")
-    write_archives(table(spark, sf_dir, "pages"), path)
-    read = reassemble(read_records(spark, path)).where("error is null")
-    read = read.select("record_id", "page_id", "warc_type", "refers_to_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    read = Scratch(spark, "warc").save(read, "read").dropDuplicates(["record_id"])
-    responses = read.where("warc_type = 'response'")
-    target = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    revisits = read.where("warc_type = 'revisit'").join(target, "refers_to_id").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to")
-    return responses.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(revisits)
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
+    with scratch.cleaning():
+        write_archives(table(spark, sf_dir, "pages"), path)
+    return captures(scratch, read_records(spark, path))
 
 
 OP6_SQL = """
 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
-       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first THEN first END AS refers_to
-FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+       CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisits THEN first END AS refers_to,
+       CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, coalesce(strlen(coalesce(html, '')) >= 100 AND first IS NOT NULL AND (page_id IS NULL OR page_id > first), false) AS revisits
+      FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
 """
