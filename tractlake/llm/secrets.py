@@ -1,7 +1,7 @@
 """Secrets in texts, with credentials linked from their parts.
 
-Strong patterns are reported wherever they stand. Weak parts (an account name, a random-looking token, an endpoint) are
-reported only where complementary parts co-occur: within a scope, an identifier, a secret and an endpoint are joined
+Strong patterns are reported wherever they stand. Weak parts (an account name or mail address, a random-looking token, a
+URL, host or network address) are reported only where complementary parts co-occur: within a scope, an identifier, a secret and an endpoint are joined
 on their intervals, by one sweep over the sorted parts of the text.
 """
 
@@ -29,6 +29,8 @@ HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b(?:host|server|endpoint)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:-]{3,}", re.I | re.A)
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A)
+ADDRESS = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]*[0-9])", re.A)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
 ROLE = {"assign": "secret", "hex": "secret", "token": "secret", "access": "id", "identifier": "id", "endpoint": "endpoint"}
@@ -48,16 +50,33 @@ def looks_random(token: str) -> bool:
     return kinds >= 2 and any(c.isdigit() for c in token) and len(set(token)) >= 10
 
 
+def apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that overlap none of ``taken`` and no earlier span of their own, by one sweep over both in order."""
+    busy = sorted((s, e) for _, s, e in taken)
+    out, i, reach = [], 0, -1  # reach: the furthest end of what begins before the span does
+    for span in sorted(spans, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        while i < len(busy) and busy[i][0] <= span[1]:
+            reach = max(reach, busy[i][1])
+            i += 1
+        if reach <= span[1] and (i == len(busy) or busy[i][0] >= span[2]):
+            out.append(span)
+            reach = max(reach, span[2])
+    return out
+
+
 def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Weak parts that have complementary parts in reach: a secret and an identifier need each other, an endpoint both."""
-    ids = [("identifier", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
     tokens = [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if looks_random(m.group())]
-    inside = lambda s: any(b[1] < s[2] and s[1] < b[2] for b in base)
-    weak = [s for s in (*ids, *tokens) if not inside(s)]
+    if not base and not tokens:
+        return []
+    ids = [("identifier", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
+    if "@" in text:
+        ids += [("identifier", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    weak = apart(ids + tokens, base)
     have = {ROLE[k] for k, _, _ in (*base, *weak)}
     if not {"id", "secret"} <= have:
         return []
-    weak += [s for s in (("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)) if not inside(s)]
+    weak += apart([("endpoint", m.start(), m.end()) for pattern in (ENDPOINT, ADDRESS) for m in pattern.finditer(text)], base + weak)
     walls = [m.start() for m in BLANK.finditer(text)]
     scope = lambda at: bisect.bisect_right(walls, at)
     parts: dict[tuple[str, int], list[tuple[int, int]]] = {}
