@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tractlake.llm.common import Scratch, components, counted, table
+from tractlake.llm.common import Scratch, components, counted, table, total
 from tractlake.llm.textkernel import mix, shingle_sets, text_bytes
 
-#: Counters of the frequency sketch: its size is fixed, and so is what a task adds to it.
-SKETCH = 1 << 16
+#: Shingles for each counter of the frequency sketch, and the bits of its size: the driver and every task hold it once.
+PER_COUNTER, SKETCH_BITS = 1024, (16, 22)
 #: Tokens of fewer classes than this meet in all pairs at once; larger ones through hubs.
 SMALL = 8
 #: Hubs of the rounds after the first; the last number goes on.
@@ -66,24 +66,40 @@ def sets_of(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary")
 
 
-def sketch_of(docs: DataFrame, k: int, text: str) -> np.ndarray:
-    """How many documents' sets have a token of each counter, over all documents."""
+class Sketch:
+    """How many documents' sets have a token of each counter, as eighths of a power of two: enough for an order."""
+
+    def __init__(self, counts: np.ndarray):
+        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
+        self.levels = np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.levels[(tokens >> self.shift).astype(np.int64)]
+
+
+def sketch_of(docs: DataFrame, k: int, text: str, n_shingles: int) -> Sketch:
+    """A sketch over all documents, its size in proportion to their shingles."""
+    bits = min(max(SKETCH_BITS[0], (n_shingles // PER_COUNTER).bit_length()), SKETCH_BITS[1])
+    size, shift = 1 << bits, np.uint64(64 - bits)
 
     def run(batches):
-        count = np.zeros(SKETCH, dtype=np.int64)
+        count = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            found = [s >> np.uint64(48) for s in shingle_sets(text_bytes(batch.column(0)), k)]
-            count += np.bincount(np.concatenate(found).astype(np.int64), minlength=SKETCH)
+            found = np.concatenate([np.empty(0, np.uint64), *(s >> shift for s in shingle_sets(text_bytes(batch.column(0)), k))])
+            at, n = np.unique(found.astype(np.int64), return_counts=True)
+            count[at] += n
         at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["i", "c"])
+        for lo in range(0, len(at), 1 << 16):
+            few = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(few.astype(np.int32)), pa.array(count[few])], ["i", "c"])
 
-    out = np.zeros(SKETCH, dtype=np.int64)
-    for i, c in docs.select(text).mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c")).toLocalIterator():
-        out[i] = c
-    return out
+    out = np.zeros(size, dtype=np.int64)
+    found = docs.select(text).mapInArrow(run, "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    out[found.column("i").to_numpy()] = found.column("c").to_numpy()
+    return Sketch(out)
 
 
-def prefixes_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int, key: str, text: str) -> DataFrame:
+def prefixes_of(docs: DataFrame, frequency: Sketch, k: int, percent: int, key: str, text: str) -> DataFrame:
     """Key, size, digest and prefix tokens in the order by frequency of every row with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
@@ -94,14 +110,14 @@ def prefixes_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int, ke
             for s in shingle_sets(text_bytes(batch.column(1)), k):
                 sizes.append(len(s))
                 digests.append(set_digest(s) if len(s) else None)
-                order = frequency[(s >> np.uint64(48)).astype(np.int64)]
+                order = frequency.of(s)
                 prefixes.append(first_by(order, s, prefix_length(len(s), percent)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "prefix"])
 
     return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary, prefix array<bigint>").where("prefix is not null")
 
 
-def filters_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
+def filters_of(docs: DataFrame, frequency: Sketch, k: int, percent: int) -> DataFrame:
     """Id, n, and prefix tokens under every order. Halves of tokens do; ``same`` is how many that makes equal at most."""
     names = [f"p{j}" for j in range(ORDERS + 1)]
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
@@ -112,7 +128,7 @@ def filters_of(docs: DataFrame, frequency: np.ndarray, k: int, percent: int) ->
             columns: list[list] = [[] for _ in names]
             sizes, same = [], []
             for s in shingle_sets(text_bytes(batch.column(1)), k):
-                keys = [mix(s ^ seed) for seed in _SEEDS] + [frequency[(s >> np.uint64(48)).astype(np.int64)]]
+                keys = [mix(s ^ seed) for seed in _SEEDS] + [frequency.of(s)]
                 found = [(first_by(x, s, prefix_length(len(s), percent)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in keys]
                 sizes.append(len(s))
                 same.append(max(len(x) - len(np.unique(x)) for x in found))
@@ -163,22 +179,31 @@ def similar_enough(x: str, y: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((rest + 1) * (100 + percent) >= percent * (n + m))
 
 
-def with_both(scratch: Scratch, pairs: DataFrame, docs: DataFrame, of) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs with what ``of`` makes of both documents, and the tables to drop after use."""
+def with_both(scratch: Scratch, pairs: DataFrame, of) -> tuple[DataFrame, DataFrame]:
+    """Pairs with what ``of`` gives for the ids of both sides, and a table to drop after use."""
     ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    made = scratch.save(of(docs.join(counted(ids), "id", "left_semi")), "made")
+    made = of(counted(ids))
     side = lambda s: made.select(*(F.col(c).alias(f"{s}_{c}") for c in made.columns))
-    return pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")), [ids, made]
+    return pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")), ids
 
 
-def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, k: int, percent: int) -> DataFrame:
+def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, filters: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b, distinct) of ids, all sets of either id compared, those that pass the hash orders' filters and are similar on whole sets."""
-    both, used = with_both(scratch, pairs, docs, lambda d: filters_of(d, frequency, k, percent))
+    both, ids = with_both(scratch, pairs, lambda ids: filters.join(ids, "id", "left_semi"))
     passed = scratch.save(both.where(enough_in_prefixes(percent)).select("a", "b"), "passed")
-    both, more = with_both(scratch, passed, docs, lambda d: tokens_of(d, k))
+    scratch.drop(ids)
+    if passed.isEmpty():
+        return passed
+    tokens = []
+
+    def sets(ids):
+        tokens.append(scratch.save(tokens_of(docs.join(ids, "id", "left_semi"), k), "tokens"))
+        return tokens[0]
+
+    both, ids = with_both(scratch, passed, sets)
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     out = scratch.save(both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b"), "links")
-    for t in (*used, *more, passed):
+    for t in (ids, passed, *tokens):
         scratch.drop(t)
     return out
 
@@ -203,42 +228,53 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     # one set (id, digest) for each class stands for it; where a key repeats with other sets, each set keeps its own row
     standing = known.join(member, "digest", "left").withColumn("cls", F.coalesce("cls", "id"))
     copy = scratch.save(standing.where("id <> cls").select("id", "digest").distinct(), "copies")
-    frequency = sketch_of(docs, k, "text")
+    frequency = sketch_of(docs, k, "text", total(sets, F.sum("n"))[0] or 0)
     prefixes = prefixes_of(docs, frequency, k, percent, "id", "text").where("id is not null")
     tokens = scratch.save(prefixes.join(counted(copy), ["id", "digest"], "left_anti").select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("id").alias("cls"), place_of("n", "pos").alias("place")), "tokens")
     heads = scratch.save(tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "heads")
     lists = scratch.save(tokens.join(heads, "token"), "lists")
     scratch.drop(tokens)
+    scratch.drop(heads)
+    # prefixes under all orders, once for every document that is in a candidate pair at all: later rounds read these
+    met = scratch.save(lists.select(F.col("cls").alias("id")).distinct(), "met")
+    filters = scratch.save(filters_of(docs.join(counted(met), "id", "left_semi"), frequency, k, percent), "filters")
     hub = lists.where("cls = hub").select("token", F.col("place").alias("hub_place"))
     to_hub = lists.where("cls > hub").join(hub, "token").where(similar_enough("place", "hub_place", percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     small = lists.where((F.col("m") > 2) & (F.col("m") < SMALL) & (F.col("cls") > F.col("hub"))).select("token", "cls", "place")
     other = small.select("token", F.col("cls").alias("b"), F.col("place").alias("b_place"))
     pairs_of_small = small.join(other, "token").where("cls < b").where(similar_enough("place", "b_place", percent)).select(F.col("cls").alias("a"), "b")
     done = scratch.save(to_hub.union(pairs_of_small).distinct(), "pairs")
-    links = verified(scratch, done, docs, frequency, k, percent)
+    links = verified(scratch, done, docs, filters, k, percent)
     # rows that repeat a key with another set tie their classes together
     ties = standing.where("cls <> id").select(F.col("id").alias("a"), F.col("cls").alias("b"))
     all_links, round_no = [links, ties], 0
     labels = scratch.save(components(scratch, union(all_links)), "components")
     large = scratch.save(lists.where(F.col("m") >= SMALL).where(F.col("cls") > F.col("hub")).select("token", "cls", "place"), "large")
+    scratch.drop(lists)
     while True:
-        # tokens whose classes are not all connected: what is left of them, by rank
+        # tokens whose classes are not all connected: what is left of them, smallest first
         now = large.join(labels, large["cls"] == labels["v"], "left").select("token", "cls", "place", F.coalesce("component", "cls").alias("part"))
         open_ = now.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-        left = now.join(open_, "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("cls")))
-        left = scratch.save(left, "left")
+        left = scratch.save(now.join(open_, "token"), "left")
+        scratch.drop(large)
         if left.isEmpty():
             break
         hubs = HUBS[min(round_no, len(HUBS) - 1)]
-        hub = left.where(F.col("rank") <= hubs).select("token", F.col("cls").alias("a"), F.col("place").alias("a_place"), F.col("part").alias("a_part"), F.col("rank").alias("a_rank"))
-        pairs = left.join(hub, "token").where("rank > a_rank and part <> a_part").where(similar_enough("place", "a_place", percent)).select("a", F.col("cls").alias("b")).distinct()
+        # tasks keep a token's first classes each before they are shuffled, so no task gets all of a token
+        rank = F.dense_rank().over(Window.partitionBy("token").orderBy("cls"))
+        hub = left.withColumn("rank", rank).where(F.col("rank") <= hubs).select("token", F.col("cls").alias("a"), F.col("place").alias("a_place"), F.col("part").alias("a_part"))
+        hub = scratch.save(hub, "hubs")
+        pairs = left.join(hub, "token").where("cls > a and part <> a_part").where(similar_enough("place", "a_place", percent)).select("a", F.col("cls").alias("b")).distinct()
         fresh = scratch.save(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(fresh)
-        found = verified(scratch, fresh, docs, frequency, k, percent)
+        found = verified(scratch, fresh, docs, filters, k, percent)
         if not found.isEmpty():
             all_links.append(found)
             labels = scratch.save(components(scratch, union(all_links)), "components")
-        large = scratch.save(left.where(F.col("rank") > hubs).select("token", "cls", "place"), "large")
+        last = hub.groupBy("token").agg(F.max("a").alias("last"))
+        large = scratch.save(left.join(last, "token").where("cls > last").select("token", "cls", "place"), "large")
+        scratch.drop(left)
+        scratch.drop(hub)
         round_no += 1
     out = sets.join(member, "digest", "left").join(labels, F.col("id") == F.col("v"), "left")
     own = F.when(F.col("n") > 0, F.coalesce("cls", "id")).otherwise(F.col("id"))
