@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and one that continues it with what toxic texts say and
-ordinary ones don't. Every text is cut into overlapping windows of words; a window that the second dictionary
+Two zstandard dictionaries: one trained on ordinary text by zstandard's trainer, and one that continues it with what
+toxic texts say and ordinary ones don't, put together by ``toxic_stems``: the trainer goes by frequency alone and spends
+its room on syllables that both classes share. Every text is cut into overlapping windows of words; a window that the second dictionary
 compresses further than the first is evidence. Thresholds and weights are calibrated on labelled rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -17,20 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tractlake.llm.common import table
+from tractlake.llm.common import Scratch, table
 from tractlake.llm.labelled import held_out, logistic, sigmoid
 from tractlake.llm.textkernel import text_bytes
 from tractlake.shipping import ship
 
-#: Labelled rows of either class that are learned from, at most.
-TRAIN_ROWS = 4000
+#: Labelled rows of either class that are learned from, at most, and bytes of their texts: what the driver may hold.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 WINDOW, STEP = 12, 6
 LEVEL = 12
+#: Bytes of the two dictionaries' contents, at most; the toxic one takes stems while they fit, commonest first.
 ORDINARY_BYTES, TOXIC_BYTES = 20_480, 4_096
 #: Bytes of a word's beginning that the toxic dictionary may hold, space included.
 STEM = range(5, 14)
 EDGE = b".,;:!?\"'()[]{}|#*$%&<>-"
 PREDICT = 0.5
+#: Labelled texts that a task measures.
+MEASURED = 128
 #: How far from chance a stem must be, in standard deviations.
 LEAST_Z = 8.0
 
@@ -75,9 +80,7 @@ def toxic_stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             score[s] = (a - b) / np.sqrt(both * (1 - both) * (1 / nt + 1 / no) + 1e-12)
     chosen: list[bytes] = []
     for s in sorted((s for s, z in score.items() if z >= LEAST_Z), key=lambda s: (-there[s], -len(s), s)):
-        if sum(map(len, chosen)) + len(s) > TOXIC_BYTES:
-            break
-        if not any(s in c or c in s for c in chosen):
+        if sum(map(len, chosen)) + len(s) <= TOXIC_BYTES and not any(s in c or c in s for c in chosen):
             chosen.append(s)
     return chosen
 
@@ -88,8 +91,8 @@ def ordinary_content(ordinary: list[bytes], stems: list[bytes]) -> bytes:
     random.Random(5).shuffle(samples)
     try:
         return zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: they are the dictionary
-        return b"".join(samples)[:ORDINARY_BYTES]
+    except zstandard.ZstdError:  # too few samples for the trainer, which are few bytes too: they are the dictionary
+        return b"".join(samples)
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -121,6 +124,70 @@ class Model:
         return sigmoid(self.weights[0] + x @ self.weights[1:])
 
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """A model without weights, from labelled texts of both classes."""
+    stems = toxic_stems(toxic, ordinary)
+    # commonest last, where matches cost least
+    return Model(ordinary_content(ordinary, stems), b"".join(reversed(stems)))
+
+
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """The model with weights for features of labelled texts, where ``share`` of all labelled rows are toxic."""
+    n, toxic = len(y), int(y.sum())
+    model.weights = logistic(x, y, np.where(y == 1, share * n / toxic, (1 - share) * n / (n - toxic)))
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model | None:
+    """A model from labelled rows outside the held-out fold; None if a class has none.
+
+    At most ``rows`` rows of either class, and ``most_bytes`` of both together, chosen by a hash of the key; whole texts,
+    all of their windows. A key that is repeated in docs gives each of its rows. Windows are measured in tasks.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    labels = labels.where(~held_out(key) & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
+    count = {r[0]: r[1] for r in labels.groupBy("y").count().collect()}
+    order = F.xxhash64("key", F.lit(3))
+    chosen = [r for y in (0, 1) for r in labels.where(F.col("y") == y).orderBy(order, "key").limit(rows).collect()]
+    if not chosen:
+        return None
+    few = spark.createDataFrame(chosen, labels.schema).dropDuplicates()
+    # at most 2 * rows keys: a bounded broadcast
+    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "key")
+    found = scratch.save(found.withColumns({"order": order, "n": F.octet_length("text"), "id": F.monotonically_increasing_id()}), "labelled")
+    taken, size = [], 0
+    sizes = [found.where(F.col("y") == y).select("id", "n").orderBy("order", "text", "id").limit(rows).collect() for y in (0, 1)]
+    for pair in itertools.zip_longest(*sizes):  # both classes in turn
+        for r in filter(None, pair):
+            if size + r[1] <= most_bytes:
+                taken.append(r[0])
+                size += r[1]
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in taken], "id long"))
+    found = found.join(ids, "id").select("order", "y", "text")
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for y, t in found.orderBy("order", "y", "text").select("y", "text").collect():
+        texts[y].append(t.encode())
+    if not texts[0] or not texts[1]:
+        return None
+    model = dictionaries(texts[1], texts[0])
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches):
+        for batch in batches:
+            x = shared.value.features(text_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+
+    measured = found.select("y", "text").repartition(1 + len(taken) // MEASURED).mapInArrow(measure, "y int, x array<double>").collect()
+    measured = sorted(measured)  # sums of floats in an order of their own
+    return calibrated(model, np.array([r[1] for r in measured]), np.array([r[0] for r in measured], dtype=float), count.get(1, 0) / max(1, sum(count.values())))
+
+
+def score(self, texts: list[bytes]) -> np.ndarray:
+        x = self.features(texts)
+        return sigmoid(self.weights[0] + x @ self.weights[1:])
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model | None:
     """A model of labelled texts, where ``share`` of all labelled rows are toxic; None if a class is empty."""
     if not toxic or not ordinary:
