@@ -16,11 +16,16 @@ from tractlake.llm.common import carried, table
 SPACE = " \t\n\x0b\x0c\r"
 #: Words of the windows in which repeats are sought.
 WINDOW = 8
-# The characters that count as symbols, and phrases of pages rather than of prose.
+# The characters that count as symbols, what ends a sentence, and phrases of pages rather than of prose.
 SYMBOLS = "#*$%&|<>"
+ENDINGS = ".!?:;\"'»”)…。！？"
+SEPARATORS = "|»›·•→"
 BOILERPLATE = (
     "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "use cookies",
     "accept cookies", "enable javascript", "click here", "read more", "sign in", "log in", "subscribe to", "lorem ipsum",
+    "licensed under the", "share this", "alle rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "mehr erfahren",
+    "tous droits réservés", "mentions légales", "lire la suite", "en savoir plus", "todos los derechos", "política de privacidad",
+    "aviso legal", "leer más",
 )
 #: A document is rejected when its failing lines hold more than this share of its words' characters.
 MOST_LOST = 0.5
@@ -46,15 +51,21 @@ def has_phrase(text: Column) -> Column:
 
 
 def line_fails(line: Column, any_phrase: Column) -> Column:
-    """Whether a line fails: many symbols or shouting (punctuation), separators (navigation), or a page's phrase.
+    """Whether a line fails: by punctuation, as navigation, or by a page's phrase.
 
-    line: its ``text``, and ``solid`` without white space. any_phrase: whether the whole text has a phrase; only then
-    are its lines searched.
+    Punctuation: many symbols or shouting, no letters, or an ellipsis of dots at its end. Navigation: separators, links
+    that make up a quarter of its words or more, or a word or two that no sentence ends. line: its ``text``, and ``solid``
+    without white space. any_phrase: whether the whole text has a phrase; only then are its lines searched.
     """
     text, solid = line["text"], line["solid"]
     passing = F.length(without(solid, SYMBOLS + "!")) * 10 >= F.length(solid) * 9
-    punctuation = ~passing | solid.rlike(r"^[\W\d_]{4,}$")
-    navigation = F.length(text) - F.length(without(text, "|»›·•")) >= 3
+    punctuation = ~passing | F.endswith(solid, F.lit("...")) | solid.rlike(r"^[\W\d_]{4,}$")
+    # words but for the last one are followed by a space: an upper bound by white space is enough for short lines
+    gaps = F.length(F.trim(text)) - F.length(solid)
+    n_links = (F.length(text) - F.length(F.replace(text, F.lit("://"), F.lit("")))) / 3
+    links = F.contains(text, F.lit("://")) & (gaps + 1 <= 4 * n_links)
+    short = (gaps <= 1) & ~F.contains(F.lit(ENDINGS), F.right(solid, F.lit(1)))
+    navigation = (F.length(text) - F.length(without(text, SEPARATORS)) >= 3) | links | short
     return punctuation | navigation | (any_phrase & has_phrase(text))
 
 

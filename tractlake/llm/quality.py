@@ -46,11 +46,15 @@ class Model:
     constant: np.ndarray  # log prior less half the log determinant
     weights: np.ndarray  # calibration: constant and slope
 
+    def __post_init__(self):
+        # a triangular factor's inverse is triangular: found once, distances are products from then on
+        self.whitening = np.array([np.tril(np.linalg.inv(f)) for f in self.factor])
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0."""
         out = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+            z = self.whitening[k] @ (x - self.mean[k]).T
             out.append(self.constant[k] - 0.5 * (z * z).sum(axis=0))
         return np.clip(out[1] - out[0], -BIN_RANGE, BIN_RANGE)
 
