@@ -7,13 +7,15 @@ tests on lengths, boxes and ends run in the JVM, exact ones on voxels and segmen
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlake.functions import geometry as G
@@ -22,6 +24,10 @@ from tractlake.operators.setops import _ids, representatives
 from tractlake.operators.subset import subset
 from tractlake.shipping import ship
 
+#: Rows of a cell beyond which it is split by where its rows end.
+CROWDED = 1_000
+#: A cell itself, and half of its neighbours: those that come later in order.
+HALF = [d for d in itertools.product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
 ORIENTED = "sl_id bigint, points array<struct<x:float,y:float,z:float>>"
 
 
@@ -67,21 +73,48 @@ def described(rows: DataFrame, params: NearParams) -> DataFrame:
     return out.withColumns({f"{e}_{a}": G.cell(F.col(f"{e}.{a}"), size) for e in ("first", "last") for a in G.AXES})
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of described rows whose end cells differ by one at most: 27 keys for the first end, a filter for the last."""
-    around = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
-    left = rows.select(*(F.col(c).alias(f"a_{c}") for c in rows.columns))
+def _grown_apart(a: str, b: str) -> Column:
+    return F.abs(F.col(a).cast("bigint") - F.col(b)) <= 1
+
+
+def candidates(rows: DataFrame, passes: Column | None = None) -> DataFrame:
+    """Pairs of ids (a_sl_id < b_sl_id) of described rows whose end cells differ by one at most, and that ``passes``.
+
+    A row meets the 13 cells of a half space around its first cell, and those of its own cell with a larger id, so each
+    pair is met once. Cells with more than CROWDED rows are split by the cells of the last end, two by two. Only
+    descriptors travel: points are fetched for the pairs that are left. ``passes`` is on columns a_* and b_*, either way round.
+    """
+    own = rows.drop("points")
+    cell = [f"c_{a}" for a in G.AXES]
+    placed = own.withColumns({c: F.col(f"first_{a}").cast("bigint") for c, a in zip(cell, G.AXES, strict=True)})
+    crowded = saved(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(*cell, F.lit(True).alias("crowded")))
+    coarse = lambda value: F.floor(value / 2).cast("bigint")
+    both_ways = lambda a: F.array_distinct(F.array(*(coarse(F.col(f"last_{a}").cast("bigint") + d) for d in (-1, 1))))
+    split = lambda keys: F.when(F.col("crowded"), keys).otherwise(F.array(F.lit(0).cast("bigint")))
+
+    half = F.array(*(F.struct(*(F.lit(v).alias(a) for a, v in zip("xyz", d, strict=True))) for d in HALF))
+    left = own.withColumn("d", F.explode(half))
+    left = left.withColumns({c: F.col(f"first_{a}").cast("bigint") + F.col(f"d.{a}") for c, a in zip(cell, G.AXES, strict=True)}).join(crowded, cell, "left")
+    right = placed.join(crowded, cell, "left")
     for a in G.AXES:
-        left = left.withColumn("__d", around).withColumn(f"k_{a}", F.col(f"a_first_{a}") + F.col("__d")).drop("__d")
-    right = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
-    near = F.col("a_sl_id") < F.col("b_sl_id")
+        left = left.withColumn(f"k_{a}", F.explode(split(both_ways(a))))
+        right = right.withColumn(f"k_{a}", F.get(split(F.array(coarse(F.col(f"last_{a}").cast("bigint")))), F.lit(0)))
+    keys = [*cell, *(f"k_{a}" for a in G.AXES)]
+    side = lambda df, s, more: df.select(*keys, *more, *(F.col(c).alias(f"{s}_{c}") for c in own.columns))
+    same = (F.col("d.x") == 0) & (F.col("d.y") == 0) & (F.col("d.z") == 0)
+    near = F.col("same_cell") & (F.col("a_sl_id") < F.col("b_sl_id")) | ~F.col("same_cell")
     for a in G.AXES:
-        near = near & (F.col(f"k_{a}") == F.col(f"b_first_{a}")) & (F.abs(F.col(f"a_last_{a}").cast("bigint") - F.col(f"b_last_{a}")) <= 1)
-    return left.join(right, near)
+        near = near & _grown_apart(f"a_last_{a}", f"b_last_{a}")
+    a_side, b_side = side(left, "a", [same.alias("same_cell")]), side(right, "b", [])
+    on = near if passes is None else near & passes
+    for k in keys:
+        on = on & (a_side[k] == b_side[k])
+    pairs = a_side.join(b_side, on)
+    return pairs.select(F.least("a_sl_id", "b_sl_id").alias("a_sl_id"), F.greatest("a_sl_id", "b_sl_id").alias("b_sl_id"))
 
 
-def cheap(pairs: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs with compatible lengths, boxes that meet when grown, and ends close together, in this order."""
+def cheap(params: NearParams) -> Column:
+    """Whether lengths are compatible, boxes meet when grown, and ends are close together, in this order."""
     short, long_ = F.least("a_len", "b_len"), F.greatest("a_len", "b_len")
     slack = (short * G.f32(0.1) + G.f32(2 * params.end_tolerance) + G.f32(2 * params.tolerance)).cast("float")
     ok = (long_ - short) <= slack
@@ -90,7 +123,7 @@ def cheap(pairs: DataFrame, params: NearParams) -> DataFrame:
         ok = ok & ((F.col(f"a_{a}_min") - tol) <= (F.col(f"b_{a}_max") + tol)) & ((F.col(f"b_{a}_min") - tol) <= (F.col(f"a_{a}_max") + tol))
     for e in ("first", "last"):
         ok = ok & (G.distance32(F.col(f"a_{e}"), F.col(f"b_{e}")) <= G.f32(params.end_tolerance))
-    return pairs.where(ok).select("a_sl_id", "b_sl_id", "a_points", "b_points")
+    return ok
 
 
 def voxels(points: np.ndarray, size: np.float32) -> set[tuple[int, int, int]]:
@@ -154,7 +187,9 @@ def edges(rows: DataFrame, params: NearParams) -> DataFrame:
             out = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(out.columns, ["lo", "hi"])
 
-    return cheap(candidates(described(rows, params)), params).mapInArrow(run, "lo bigint, hi bigint")
+    pairs = candidates(described(rows, params), cheap(params))
+    points = lambda k: rows.select(F.col("sl_id").alias(f"{k}_sl_id"), F.col("points").alias(f"{k}_points"))
+    return pairs.join(points("a"), "a_sl_id").join(points("b"), "b_sl_id").select("a_sl_id", "b_sl_id", "a_points", "b_points").mapInArrow(run, "lo bigint, hi bigint")
 
 
 def first_independent(ids: DataFrame, edges_: DataFrame) -> DataFrame:
@@ -165,18 +200,19 @@ def first_independent(ids: DataFrame, edges_: DataFrame) -> DataFrame:
     """
     left = saved(edges_.distinct())
     kept = ids.join(left.select(F.col("hi").alias("sl_id")).distinct(), "sl_id", "left_anti")  # no smaller neighbour at all
-    out = saved(kept)
-    frontier = out
+    frontier = saved(kept)
+    decided = [frontier]
     while not left.isEmpty():
         gone = saved(left.join(frontier, left["lo"] == frontier["sl_id"]).select(F.col("hi").alias("sl_id")).distinct())
         was = left.select("hi").distinct()
         rest = left.join(gone, left["hi"] == gone["sl_id"], "left_anti").join(gone.withColumnRenamed("sl_id", "g"), F.col("lo") == F.col("g"), "left_anti")
+        # what stays is final: an edge from it has either gone with its larger end or leads to one that goes
         rest = saved(rest)
         undecided = was.join(gone, was["hi"] == gone["sl_id"], "left_anti").select(F.col("hi").alias("sl_id"))
         frontier = saved(undecided.join(rest.select(F.col("hi").alias("sl_id")).distinct(), "sl_id", "left_anti"))
-        out = saved(out.union(frontier))
+        decided.append(frontier)
         left = rest
-    return out
+    return reduce(DataFrame.union, decided)
 
 
 def remove_near_duplicates(t: Tractogram, params: NearParams | None = None) -> Tractogram:
