@@ -174,10 +174,13 @@ def write(path: str, tractogram, compress_groups: bool = False) -> None:
                 f.write(np.array(column.to_pylist(), dtype=np.dtype(a.dtype)).astype(np.dtype(a.dtype).newbyteorder("<")).tobytes())
         offsets.write(np.array([v], "<u4").tobytes())
         kinds = {r["grp"]: r["dtype"] for r in t.group_names.collect()}
-        for g, d in kinds.items():
-            f = out(f"groups/{g}.{d}")
-            for r in t.groups.where(t.groups["grp"] == g).orderBy("ord").select("sl_id").toLocalIterator():
-                f.write(np.array([r[0]], np.dtype(d).newbyteorder("<")).tobytes())
+        members = {g: out(f"groups/{g}.{d}") for g, d in kinds.items()}
+        for batch in arrow_in_order(t.groups.select("grp", "ord", "sl_id"), ["grp", "ord"]):
+            names, ids = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("sl_id").to_numpy()
+            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for name, part in zip(names[np.concatenate([[0], cuts])], np.split(ids, cuts), strict=True):
+                if name in members:
+                    members[name].write(part.astype(np.dtype(kinds[name]).newbyteorder("<")).tobytes())
         for r in t.dpg.orderBy("grp", "field", "row_idx").toLocalIterator():
             out(f"dpg/{r['grp']}/{file_name(r['field'], Array(r['dtype'], r['ncols']))}").write(np.array(r["value"]).astype(np.dtype(r["dtype"]).newbyteorder("<")).tobytes())
     finally:
@@ -200,15 +203,29 @@ def write(path: str, tractogram, compress_groups: bool = False) -> None:
     shutil.rmtree(work)
 
 
-def arrow_in_order(df, key: str, rows: int = 20_000):
-    """Arrow batches of a frame in order of a key, one partition of it at a time on the driver."""
+def arrow_in_order(df, key: str | list[str], rows: int = 4096):
+    """Arrow batches of a frame in order of a key, one partition of it at a time on the driver.
+
+    Rows are put into Arrow by executors, a row for each batch, in its order.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema, held = to_arrow_schema(df.schema), []
-    for row in df.orderBy(key).toLocalIterator():
-        held.append(row.asDict(recursive=True))
-        if len(held) >= rows:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+    schema = to_arrow_schema(df.schema)
+
+    def pack(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(setting)
+    df.sparkSession.conf.set(setting, str(rows))
+    try:
+        packed = df.orderBy(*([key] if isinstance(key, str) else key)).mapInArrow(pack, "batch binary").toLocalIterator()
+    finally:
+        df.sparkSession.conf.set(setting, before)
+    for row in packed:
+        for batch in pa.ipc.open_stream(row[0]):
+            yield batch.cast(schema)
