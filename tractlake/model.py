@@ -135,6 +135,14 @@ class Tractogram:
         """One row: nb_streamlines, nb_vertices, from the data and not from a header."""
         return self.streamlines.agg(F.count(F.lit(1)).alias("nb_streamlines"), F.coalesce(F.sum(F.size("points")), F.lit(0)).cast("bigint").alias("nb_vertices"))
 
+    @property
+    def nb_streamlines(self) -> int:
+        return self.counts().first()[0]
+
+    @property
+    def nb_vertices(self) -> int:
+        return self.counts().first()[1]
+
     def vertices(self) -> DataFrame:
         """sl_id, v_idx, x, y, z and a column for each attribute of vertices; empty streamlines have no rows."""
         zipped = F.arrays_zip("points", *(F.col(f"`dpv_{k}`") for k in self.dpv)) if self.dpv else F.transform("points", lambda p: F.struct(p.alias("points")))
@@ -157,15 +165,39 @@ class Tractogram:
         self._has(self.dpv, name)
         return self.vertices().select("sl_id", "v_idx", F.col(f"`{name}`").alias("value"))
 
-    def scalar_dps(self, name: str) -> DataFrame:
-        """A one-column attribute as float; 64-bit integers are refused, as they would lose digits."""
-        array = self.dps[self._has(self.dps, name)]
+    @staticmethod
+    def _scalar(name: str, array: Array) -> None:
         if array.ncols != 1:
             raise DTypeError(f"'{name}' has {array.ncols} columns")
         if array.dtype in ("int64", "uint64"):
             raise DTypeError(f"'{name}' is {array.dtype}")
+
+    def scalar_dps(self, name: str) -> DataFrame:
+        """A one-column attribute as float; 64-bit integers are refused, as they would lose digits."""
+        self._scalar(name, self.dps[self._has(self.dps, name)])
         return self.dps_column(name).withColumn("value", F.col("value").cast("float"))
 
+    def scalar_dpv(self, name: str) -> DataFrame:
+        """The same for an attribute of vertices: sl_id, v_idx, value."""
+        self._scalar(name, self.dpv[self._has(self.dpv, name)])
+        return self.dpv_column(name).withColumn("value", F.col("value").cast("float"))
+
+    def max_group_index(self) -> DataFrame:
+        """The largest member of each group; null where it is empty."""
+        return self.group_names.select("grp").join(self.groups, "grp", "left").groupBy("grp").agg(F.max("sl_id").alias("max_index"))
+
+    def neutral(self) -> Tractogram:
+        """Single precision, groups and their attributes, without attributes of streamlines and vertices."""
+        from tractlake.operators.cast import cast_positions
+
+        return cast_positions(self.with_(streamlines=self.streamlines.select("sl_id", "points"), dps={}, dpv={}), "float32")
+
+    def container(self, dtype: str = "float32") -> Tractogram:
+        """The neutral form as a container's content: positions of a type, group members as unsigned 32-bit numbers."""
+        from tractlake.operators.cast import cast_positions
+
+        return cast_positions(self.with_(group_names=self.group_names.withColumn("dtype", F.lit("uint32"))), dtype)
+
     def group(self, name: str) -> DataFrame:
         if self.group_names.where(F.col("grp") == name).isEmpty():
             raise MissingName(name)

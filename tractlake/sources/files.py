@@ -23,6 +23,7 @@ class Options:
     header: Header | None = None
     dtype: str = "float32"
     vtk_space: str = "ras"
+    compress_groups: bool = False
 
 
 def detect_format(path: str) -> str:
@@ -60,7 +61,7 @@ def read_tractogram(spark: SparkSession, path: str, options: Options | None = No
     t = load(spark, path, options)
     if detect_format(path) == "trk" and (t.dps or t.dpv):
         raise FormatError("TRK file has scalars or properties; convert it to keep them")
-    return cast_positions(t.with_(streamlines=t.streamlines.select("sl_id", "points"), dps={}, dpv={}), "float32")
+    return t.neutral()
 
 
 def reference_header(path: str) -> Header:
@@ -74,8 +75,10 @@ def reference_header(path: str) -> Header:
 
 
 def _lines(t: Tractogram):
-    for row in t.streamlines.select("sl_id", "points").orderBy("sl_id").toLocalIterator():
-        yield np.array([tuple(p) for p in row[1]], dtype=np.float32).reshape(-1, 3)
+    for batch in trx.arrow_in_order(t.streamlines.select("sl_id", "points"), "sl_id"):
+        points = batch.column("points")
+        flat = np.column_stack([points.flatten().field(a).to_numpy(zero_copy_only=False) for a in "xyz"]).astype(np.float32)
+        yield from np.split(flat, np.cumsum(np.diff(points.offsets.to_numpy()))[:-1]) if len(points) else ()
 
 
 def write_tractogram(t: Tractogram, path: str, options: Options | None = None) -> None:
@@ -86,7 +89,7 @@ def write_tractogram(t: Tractogram, path: str, options: Options | None = None) -
         out = t if t.dtype == options.dtype else cast_positions(t, options.dtype)
         if options.header is not None:
             out = out.with_(header=Header(options.header.affine, options.header.dimensions, t.header.extra))
-        trx.write(path, out)
+        trx.write(path, out, options.compress_groups)
     elif kind in ("tck", "vtk"):
         n, v = t.counts().first()
         if kind == "tck":
@@ -102,7 +105,7 @@ def convert(spark: SparkSession, source: str, target: str, options: Options | No
     t = load(spark, source, options)
     chosen = options or Options(dtype=t.dtype)
     if detect_format(source) == "trk":
-        chosen = Options(None, chosen.dtype, chosen.vtk_space)
+        chosen = Options(None, chosen.dtype, chosen.vtk_space, chosen.compress_groups)
     write_tractogram(t, target, chosen)
 
 
