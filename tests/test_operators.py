@@ -102,6 +102,45 @@ def test_near_duplicates(spark, rows, params, kept):
     assert [r["dps_i"] for r in near.remove_near_duplicates(t, params).streamlines.orderBy("sl_id").collect()] == kept
 
 
+@pytest.mark.parametrize("crowded", [1, 5, 1000])
+def test_near_duplicates_in_crowded_cells(spark, monkeypatch, crowded):
+    """Many short lines from few cells, against all pairs and a greedy choice in order of ids."""
+    import random
+
+    monkeypatch.setattr(near, "CROWDED", crowded)
+    rng = random.Random(crowded)
+    params = near.NearParams(0.4, 1.0, 0.3)
+    at = lambda: tuple(round(rng.uniform(-1.5, 1.5), 2) for _ in range(3))
+    rows = [[at(), at()] for _ in range(60)]
+    rows += [[tuple(c + rng.uniform(-0.05, 0.05) for c in p) for p in (reversed(r) if i % 2 else r)] for i, r in enumerate(rows[:40])]
+    t = Tractogram.from_lists(spark, rows)
+    described = near.described(near.oriented(t), params)
+    cells = {r["sl_id"]: [tuple(r[f"{e}_{a}"] for a in "xyz") for e in ("first", "last")] for r in described.collect()}
+    close = lambda a, b: all(abs(x - y) <= 1 for x, y in zip(a, b, strict=True))
+    want = {(i, j) for i in cells for j in cells if i < j and all(map(close, cells[i], cells[j]))}
+    got = [(r["a_sl_id"], r["b_sl_id"]) for r in near.candidates(described).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = {(r["lo"], r["hi"]) for r in near.edges(near.oriented(t), params).collect()}
+    assert len(pairs) >= 30
+    kept = []
+    for i in range(len(rows)):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    out = near.first_independent(t.streamlines.select("sl_id"), near.edges(near.oriented(t), params))
+    assert sorted(r[0] for r in out.collect()) == kept
+
+
+def test_geometry_keys(spark):
+    from tractlake.functions import geometry as G
+
+    nan = float("nan")
+    rows = [[(0, 0, 0), (1, 2, 3)], [(-0.0, 0, 0), (1, 2, 3)], [(0, -0.0, 0), (1, 2, 3)], [(1, 2, 3), (0, 0, 0)], [(nan, 0, 0)], [(nan, 0, 0)], [], [(1, 2, 3)], [(1, 2, 3), (1, 2, 3)]]
+    lines = Tractogram.from_lists(spark, rows).streamlines
+    keys = {r[0]: (tuple(r[1]), tuple(r[2])) for r in lines.select("sl_id", G.geometry_key(F.col("points")), G.canonical_key(F.col("points"))).collect()}
+    same = lambda k: {(i, j) for i in keys for j in keys if i < j and keys[i][k] == keys[j][k]}
+    assert same(0) == {(4, 5)} and same(1) == {(0, 3), (4, 5)}
+
+
 def test_first_independent_set_equals_greedy(spark):
     rng = random.Random(3)
     pairs = {(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a < b}

@@ -16,14 +16,16 @@ def f32(value: float) -> Column:
 
 
 def lowest(points: Column, axis: str) -> Column:
-    """Smallest coordinate without NaN; infinity where there is none."""
-    values = F.filter(F.transform(points, lambda p: p[axis]), lambda v: ~F.isnan(v))
-    return F.coalesce(F.array_min(values), F.lit(float("inf")).cast("float")).cast("float")
+    """Smallest coordinate without NaN; infinity where there is none. NaN sorts last, so it is the least only of NaNs."""
+    least = F.array_min(points[axis])
+    return F.when(least.isNull() | F.isnan(least), F.lit(float("inf")).cast("float")).otherwise(least.cast("float"))
 
 
 def highest(points: Column, axis: str) -> Column:
-    values = F.filter(F.transform(points, lambda p: p[axis]), lambda v: ~F.isnan(v))
-    return F.coalesce(F.array_max(values), F.lit(float("-inf")).cast("float")).cast("float")
+    """Largest coordinate without NaN; only where there is one are the others picked out."""
+    most = F.array_max(points[axis])
+    others = F.array_max(F.filter(points[axis], lambda v: ~F.isnan(v)))
+    return F.coalesce(F.when(F.isnan(most), others).otherwise(most), F.lit(float("-inf"))).cast("float")
 
 
 def box(points: Column) -> list[Column]:
@@ -76,14 +78,21 @@ def translate(points: Column, by: float) -> Column:
     return F.transform(points, lambda p: F.struct(*((p[a] + f32(by)).cast("float").alias(a) for a in AXES)))
 
 
-def number_key(value: Column) -> Column:
-    """A number as text that tells -0.0 from 0.0, which Spark's equality does not; NaNs are alike."""
-    return value.cast("string")
+def minus_zeros(points: Column) -> Column:
+    """Where coordinates are -0.0, as hashes and comparisons take it for 0.0: places times three, plus the axis."""
+    minus = lambda v: (v == 0) & (v.cast("string") == "-0.0")
+
+    def of(axis: str, k: int) -> Column:
+        return F.filter(F.transform(points, lambda p, i: F.when(minus(p[axis]), i * 3 + k)), lambda v: v.isNotNull())
+
+    zero = F.exists(points, lambda p: (p["x"] == 0) | (p["y"] == 0) | (p["z"] == 0))
+    return F.when(zero, F.flatten(F.array(*(of(a, k) for k, a in enumerate(AXES)))))
 
 
 def geometry_key(points: Column) -> Column:
-    """Text that is equal where all coordinates are equal bit by bit, in this direction."""
-    return F.array_join(F.transform(points, lambda p: F.concat_ws(",", *(number_key(p[a]) for a in AXES))), ";")
+    """128 bits (two numbers) that are equal where all coordinates are equal bit by bit, in this direction; NaNs are alike."""
+    odd = minus_zeros(points)
+    return F.struct(*(F.xxhash64(F.lit(seed), points, F.size(points), odd).alias(f"k{seed}") for seed in (1, 2)))
 
 
 def canonical(points: Column) -> Column:

@@ -52,15 +52,19 @@ def summary(t: Tractogram) -> DataFrame:
 
 
 def compare(a: Tractogram, b: Tractogram, deep: bool = False) -> DataFrame:
-    """(what, left, right, same) for counts, dimensions and names; ``deep`` adds the number of streamlines that differ."""
+    """(what, left, right, same, only_left, only_right) for counts, dimensions and names; the last two are names that one side has.
+
+    ``deep`` adds the number of streamlines that differ.
+    """
     x, y = summary(a).first().asDict(), summary(b).first().asDict()
-    rows = [(k, str(x[k]), str(y[k]), x[k] == y[k]) for k in x]
+    missing = lambda k, of, other: sorted(set(of[k]) - set(other[k])) if k in ("dps", "dpv", "groups", "dpg") else []
+    rows = [(k, str(x[k]), str(y[k]), x[k] == y[k], missing(k, x, y), missing(k, y, x)) for k in x]
     if deep:
-        key = lambda t: t.streamlines.select("sl_id", F.sha2(G.geometry_key(F.col("points")), 256).alias("key"))
+        key = lambda t: t.streamlines.select("sl_id", G.geometry_key(F.col("points")).alias("key"))
         left, right = key(a), key(b).withColumnsRenamed({"key": "other"})
         n = left.join(right, "sl_id", "full").where(~F.col("key").eqNullSafe(F.col("other"))).count()
-        rows.append(("geometry", "", f"{n} differ", n == 0))
-    return a.spark.createDataFrame(rows, "what string, left string, right string, same boolean")
+        rows.append(("geometry", "", f"{n} differ", n == 0, [], []))
+    return a.spark.createDataFrame(rows, "what string, left string, right string, same boolean, only_left array<string>, only_right array<string>")
 
 
 def length_stats(t: Tractogram) -> DataFrame:

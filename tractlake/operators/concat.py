@@ -56,6 +56,8 @@ def concatenate(inputs: list[Tractogram], group_names: list[str | None] | None =
     columns = ["sl_id", "points", *(f"dps_{n}" for n in dps), *(f"dpv_{n}" for n in dpv)]
     same = len({t.dtype for t in inputs} | {target}) == 1
     rows, members, names, base = [], [], [], 0
+    # all inputs counted in one job
+    sizes = dict(reduce(DataFrame.union, [t.streamlines.select(F.lit(i).alias("i")) for i, t in enumerate(inputs)]).groupBy("i").count().collect())
     for i, t in enumerate(inputs):
         part = t if same else cast_positions(t, target)
         rows.append(part.streamlines.select(*(F.col(f"`{c}`") for c in columns)).withColumn("sl_id", F.col("sl_id") + base))
@@ -63,7 +65,7 @@ def concatenate(inputs: list[Tractogram], group_names: list[str | None] | None =
             g, n = renamed(t, group_names[i] if group_names else None)
             members.append(g.select("grp", F.lit(i).alias("input"), "ord", (F.col("sl_id") + base).alias("sl_id")))
             names.append(n.select("grp", "dtype"))
-        base += t.streamlines.count()
+        base += sizes.get(i, 0)
     streamlines = reduce(DataFrame.unionByName, rows)
     if drop_groups or not members:
         return Tractogram.of(streamlines, inputs[0].header, target, dps, dpv)
