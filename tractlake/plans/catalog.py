@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tractlake.errors import ArgumentError
 from tractlake.functions import geometry as G
-from tractlake.model import Header, Tractogram
+from tractlake.model import Tractogram
 from tractlake.operators import boxes, checks, concat, metadata, near, setops, subset
 from tractlake.operators.cast import cast_positions
 from tractlake.operators.connectivity import connectivity
@@ -150,14 +150,23 @@ def subset_first_n(spark, sf):
     return subset.choose(orders(spark, sf, "priority"), ["1-URGENT"], 50)
 
 
-@query()
+@query("SELECT least(50, count(*))::BIGINT AS n, least(50, count(*))::BIGINT AS n_known, true AS ascending, true AS same_again, true AS other_seed_differs FROM s")
 def sample_random(spark, sf):
-    return subset.choose(orders(spark, sf), n=50, seed=7)
+    """Picks by a hash can't be told in SQL; what holds for them can: size, order, and that a seed decides."""
+    t = orders(spark, sf)
+    picked, again, other = (subset.choose(t, n=50, seed=k) for k in (7, 7, 8))
+    known = picked.join(t.streamlines.select("sl_id"), F.col("old_id") == F.col("sl_id"), "left_semi").select(F.count(F.lit(1)).alias("n_known"))
+    lists = picked.select(F.array_sort(F.collect_list(F.struct("new_id", "old_id"))).alias("l"))
+    digest = lambda df, name: df.select(F.bit_xor(F.xxhash64("new_id", "old_id")).alias(name))
+    rows = lists.crossJoin(known).crossJoin(digest(picked, "p")).crossJoin(digest(again, "a")).crossJoin(digest(other, "o"))
+    ascending = F.col("l.old_id") == F.array_sort("l.old_id")
+    return rows.select(F.size("l").cast("bigint").alias("n"), "n_known", ascending.alias("ascending"), (F.col("p") == F.col("a")).alias("same_again"), (F.col("p") != F.col("o")).alias("other_seed_differs"))
 
 
-@query("SELECT pri AS grp, array_to_string(list(sl_id ORDER BY sl_id)[:5], ' ') AS firsts, count(*) AS n FROM s GROUP BY 1")
+@query("SELECT pri AS grp, md5(string_agg(sl_id::VARCHAR, ' ' ORDER BY sl_id)) AS members, count(*) AS n FROM s GROUP BY 1")
 def group_lists(spark, sf):
-    return orders(spark, sf, "priority").group_lists().select("grp", F.array_join(F.slice("members", 1, 5).cast("array<string>"), " ").alias("firsts"), F.size("members").cast("bigint").alias("n"))
+    lists = orders(spark, sf, "priority").group_lists()
+    return lists.select("grp", F.md5(F.array_join(F.col("members").cast("array<string>"), " ").cast("binary")).alias("members"), F.size("members").cast("bigint").alias("n"))
 
 
 def _sides(spark, sf) -> tuple[Tractogram, Tractogram]:
@@ -261,18 +270,28 @@ def copy_metadata_merge(spark, sf):
     return out.streamlines.select("sl_id", F.round(F.col("dps_weight").cast("double"), 2).alias("weight"))
 
 
-@query("SELECT * FROM (VALUES ('dps', 'weight'), ('dpv', 'fa')) AS t(kind, name)", None)
+@query("SELECT kind, name FROM (SELECT 'dps' AS kind, 'weight' AS name UNION ALL SELECT 'dpv', 'fa' UNION ALL SELECT 'groups', grp FROM (SELECT DISTINCT l_returnflag AS grp FROM lineitem INTERSECT SELECT DISTINCT substr(o_orderpriority, 3, 1) FROM orders))")
 def copy_metadata_conflicts(spark, sf):
-    t = orders(spark, sf)
-    return spark.createDataFrame(metadata.conflicts(t, t), "kind string, name string")
+    """Names on both sides: groups by flag in the target, by the first letter of the priority in the donor."""
+    target, donor = orders(spark, sf, "flag"), orders(spark, sf, "priority")
+    letter = F.substring("grp", 3, 1)
+    names = donor.group_names.withColumn("grp", letter).distinct()
+    donor = donor.with_(groups=subset.renumber_members(donor.groups.select(letter.alias("grp"), F.col("sl_id").alias("ord"), "sl_id")), group_names=names)
+    return spark.createDataFrame(metadata.conflicts(target, donor), "kind string, name string")
+
 
+_HALF_COUNTS = "h2 AS (SELECT (SELECT count(*) FROM s WHERE sl_id % 2 = 0) AS sa, (SELECT sum(n)::BIGINT FROM s WHERE sl_id % 2 = 0) AS va, (SELECT count(*) FROM s WHERE sl_id % 2 = 1 AND pri <> '5-LOW') AS sb, (SELECT sum(n)::BIGINT FROM s WHERE sl_id % 2 = 1 AND pri <> '5-LOW') AS vb)"
 
-@query("SELECT what, same FROM (VALUES ('nb_streamlines', false), ('nb_vertices', false), ('dimensions', true), ('dps', true), ('dpv', true), ('groups', true), ('dpg', true)) AS t(what, same)", None)
+
+@query(", " + _HALF_COUNTS + " SELECT 'nb_streamlines' AS what, sa::VARCHAR AS left, sb::VARCHAR AS right, sa = sb AS same, '' AS only_left FROM h2 UNION ALL SELECT 'nb_vertices', va::VARCHAR, vb::VARCHAR, va = vb, '' FROM h2 UNION ALL SELECT 'groups', a, b, a = b, '5-LOW' FROM (SELECT '[' || string_agg(quoted, ', ' ORDER BY quoted) || ']' AS a, '[' || string_agg(quoted, ', ' ORDER BY quoted) FILTER (pri <> '5-LOW') || ']' AS b FROM (SELECT DISTINCT pri, chr(39) || pri || chr(39) AS quoted FROM s)) UNION ALL SELECT 'dps', '[''weight'']', '[''weight'']', true, ''")
 def compare_summary(spark, sf):
-    a, b = _halves(spark, sf)
-    # the halves are made unequal for certain
-    b = b.with_(streamlines=b.streamlines.where("sl_id > 10"))
-    return checks.compare(a, b).select("what", "same")
+    """Two halves, one without a group: counts, and names that only one has."""
+    t = orders(spark, sf, "priority")
+    low = t.groups.where("grp = '5-LOW'").select("sl_id")
+    a = t.with_(streamlines=t.streamlines.where("sl_id % 2 = 0"))
+    b = metadata.delete(t.with_(streamlines=t.streamlines.where("sl_id % 2 = 1").join(low, "sl_id", "left_anti")), groups=["5-LOW"])
+    found = checks.compare(a, b).where(F.col("what").isin("nb_streamlines", "nb_vertices", "groups", "dps"))
+    return found.select("what", "left", "right", "same", F.array_join("only_left", ",").alias("only_left"))
 
 
 _FLAGS = ", g AS (SELECT DISTINCT l_orderkey AS sl_id, l_returnflag AS grp FROM lineitem), p AS (SELECT a.grp AS gi, b.grp AS gj, a.sl_id FROM g a JOIN g b ON a.sl_id = b.sl_id AND a.grp <= b.grp), n AS (SELECT * FROM (VALUES ('A', 0), ('N', 1), ('R', 2)) AS t(grp, i))"
@@ -328,7 +347,7 @@ def translate(spark, sf):
 
 @query("SELECT pri AS grp, max(sl_id) AS max_index FROM s GROUP BY 1")
 def max_group_index(spark, sf):
-    return orders(spark, sf, "priority").groups.groupBy("grp").agg(F.max("sl_id").alias("max_index"))
+    return orders(spark, sf, "priority").max_group_index()
 
 
 @query("SELECT grp, round(avg(x::DOUBLE), 4) AS mean_x FROM g JOIN v USING (sl_id) GROUP BY 1", EVENTS_SQL)
@@ -354,29 +373,47 @@ def sanitize_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.safe_name(raw).alias("name"))
 
 
-@query()
+_HALF = "CASE WHEN {v} = 0 THEN 0.0 ELSE round_even({v}::DOUBLE / pow(2, floor(log2(abs({v}::DOUBLE))) - 10), 0) * pow(2, floor(log2(abs({v}::DOUBLE))) - 10) END"
+
+
+@query(_points_sql(*(_HALF.format(v=a) for a in "xyz")), EVENTS_SQL)
 def cast_f16(spark, sf):
+    """Eleven bits, ties to even: in SQL by powers of two, as all coordinates are normal numbers."""
     return _points(cast_positions(events(spark, sf), "float16").streamlines)
 
 
+@query("SELECT sl_id, v_idx::INT AS v_idx, x, y, z FROM (SELECT sl_id, v_idx, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM v)", EVENTS_SQL)
+def cast_f64(spark, sf):
+    """Positions pass through single precision, so doubles are exactly the old floats."""
+    return cast_positions(events(spark, sf), "float64").vertices()
+
+
 def _shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{near.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for files that the driver writes and executors read: it must be mounted."""
+    found = urlsplit(_shared(spark, "through"))
+    if found.scheme not in ("", "file"):
+        raise ArgumentError(f"files are written and read through a mounted folder: {found.geturl()}")
+    os.makedirs(found.path)
+    return found.path
+
+
+def from_zero(t: Tractogram) -> Tractogram:
+    """With ids 0, 1, 2, .. in the old order, as files have them."""
+    ids = renumbered(t.streamlines.select("sl_id"), "sl_id", "new_id").select("new_id", F.col("sl_id").alias("old_id"))
+    return subset.subset(t, ids, check=False)
+
+
 def _through(spark: SparkSession, sf: str, ending: str) -> DataFrame:
-    """A tractogram written by the driver to a file in the shared folder, which must be mounted, and read back."""
+    """A tractogram written by the driver to a file in the shared folder, and read back."""
     from tractlake.sources import files
 
-    t = events(spark, sf)
-    ids = renumbered(t.streamlines.select("sl_id"), "sl_id", "new_id").select("new_id", F.col("sl_id").alias("old_id"))
-    folder = _shared(spark, "through")
-    if urlsplit(folder).scheme not in ("", "file"):
-        raise ArgumentError(f"files are written and read through a mounted folder: {folder}")
-    folder = urlsplit(folder).path
-    os.makedirs(folder)
-    path = os.path.join(folder, f"lines{ending}")
-    files.write_tractogram(subset.subset(t, ids, check=False), path)
+    path = os.path.join(folder(spark), f"lines{ending}")
+    files.write_tractogram(from_zero(events(spark, sf)), path)
     return _points(files.load(spark, path).streamlines)
 
 
@@ -403,13 +440,6 @@ def vtk_roundtrip(spark, sf):
     return _through(spark, sf, ".vtk")
 
 
-@query("SELECT count(*) AS nb_streamlines, sum(n)::BIGINT AS nb_vertices FROM s WHERE pri <> '1-URGENT'")
-def group_export_rest(spark, sf):
-    t = orders(spark, sf, "priority")
-    rest = [g for g in t.names("groups") if g != "1-URGENT"]
-    return subset.take(t, rest).counts()
-
-
 @query("SELECT kind, name, nrows, dtype FROM (SELECT 'dps' AS kind, 'weight' AS name, count(*) AS nrows, 'float32' AS dtype FROM s UNION ALL SELECT 'dpv', 'fa', sum(n)::BIGINT, 'float32' FROM s UNION ALL SELECT 'group', pri, count(*), 'uint32' FROM s GROUP BY pri UNION ALL SELECT 'dpg', 'size', 1, 'float64' FROM (SELECT DISTINCT pri FROM s))")
 def arrays(spark, sf):
     return orders(spark, sf, "priority").arrays().select("kind", "name", "nrows", "dtype")
@@ -430,18 +460,5 @@ def append_dps(spark, sf):
     return metadata.delete(out, dps=["weight"]).dps_column("twice")
 
 
-@query("SELECT 2.0 AS x0, 90 AS dim0", None)
-def update_affine(spark, sf):
-    t = checks.update_affine(orders(spark, sf), Header([[2.0, 0.0, 0.0, 0.0], [0.0, 2.0, 0.0, 0.0], [0.0, 0.0, 2.0, 0.0], [0.0, 0.0, 0.0, 1.0]], [90, 90, 60]))
-    return spark.createDataFrame([(t.header.affine[0][0], t.header.dimensions[0])], "x0 double, dim0 int")
-
-
-@query("SELECT count(*) AS nb_streamlines, sum(n)::BIGINT AS nb_vertices FROM s")
-def stream_build(spark, sf):
-    from tractlake.streaming.builder import StreamBuilder
-
-    builder = StreamBuilder(spark, _shared(spark, "built"))
-    t = orders(spark, sf)
-    for i in (0, 1):
-        builder.append(t.streamlines.where(F.col("sl_id") % 2 == i), i)
-    return builder.finalize().counts()
+# queries in modules of their own register themselves
+from tractlake.plans import file_queries, more_queries  # noqa: E402, F401
