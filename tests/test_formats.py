@@ -187,3 +187,23 @@ def test_command_line(spark, full, tmp_path, capsys):
     assert run("copy-metadata", a, a, "--overwrite") == 0
     assert run("info", str(tmp_path / "none.trx")) == 1
     assert json.loads(trx.Container(a).bytes("header.json"))["NB_STREAMLINES"] == 3
+
+
+@pytest.mark.parametrize("name", ["a.trx", "a.tck.gz", "a.trk", "a.tt.gz", "a.vtk"])
+def test_by_uri(spark, full, tmp_path, name):
+    """The same through Spark's reader as from a mounted path, for every format."""
+    path = str(tmp_path / name)
+    if name in ("a.trk", "a.tt.gz"):
+        data = trk_bytes() if name == "a.trk" else gzip.compress(tt_bytes())
+        with open(path, "wb") as f:
+            f.write(data)
+    else:
+        files.write_tractogram(full, path)
+    here, there = files.load(spark, path), files.load(spark, f"file://{path}")
+    assert lines(here) == lines(there) and here.header == there.header and here.dps == there.dps and here.dpv == there.dpv
+    assert sorted(here.streamlines.columns) == sorted(there.streamlines.columns)
+    columns = sorted(here.streamlines.columns)
+    rows = lambda t: [tuple(map(str, r)) for r in t.streamlines.select(columns).orderBy("sl_id").collect()]
+    assert rows(here) == rows(there)
+    for table in ("groups", "group_names", "dpg"):
+        assert sorted(map(str, getattr(here, table).collect())) == sorted(map(str, getattr(there, table).collect()))

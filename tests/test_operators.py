@@ -237,3 +237,39 @@ def test_stream_builder(spark, tmp_path):
     out = builder.finalize()
     assert tuple(out.counts().first()) == (3, 4)
     assert [r[0] for r in out.streamlines.select("sl_id").orderBy("sl_id").collect()] == [0, 1, 2]
+
+
+def test_many_query_boxes_by_cells(spark, monkeypatch):
+    """A long list of queries gives what a short one does, wide and degenerate boxes included."""
+    import random
+
+    rng = random.Random(3)
+
+    def box():
+        low = [rng.uniform(-40, 40) for _ in range(3)]
+        return [(a, a + rng.choice([0.0, 0.5, 8.0, 300.0, 1e12])) for a in low]
+
+    some = lambda n, names: spark.createDataFrame([(i, *(float(v) for p in box() for v in p)) for i in range(n)], f"{names[0]} long, " + ", ".join(f"{a}_{e} float" for a in "xyz" for e in names[1:]))
+    lines, queries = some(80, ("sl_id", "min", "max")), some(40, ("q", "lo", "hi"))
+    empty = spark.createDataFrame([(900, *[float("inf")] * 3, *[float("-inf")] * 3)], "sl_id long, x_min float, y_min float, z_min float, x_max float, y_max float, z_max float")
+    lines = lines.unionByName(empty)
+    want = sorted(map(tuple, boxes.query_many(lines, queries).collect()))
+    monkeypatch.setattr(boxes, "FEW", 0)
+    assert sorted(map(tuple, boxes.query_many(lines, queries).collect())) == want and len(want) > 100
+
+
+def test_shared_folder_must_be_shared(spark, monkeypatch):
+    from tractlake.errors import ArgumentError
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})())
+
+    with pytest.raises(ArgumentError, match="share"):
+        near.shared_dir(Elsewhere)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tractlake.errors import ArgumentError
 from tractlake.functions import geometry as G
 from tractlake.model import Tractogram
 from tractlake.operators.setops import _ids, representatives
@@ -39,11 +40,13 @@ class NearParams:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     found = found or (jdir.get() if jdir.isDefined() else None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ArgumentError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tractlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found

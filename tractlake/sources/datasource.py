@@ -11,9 +11,9 @@ import json
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tractlake.model import DPG, GROUP_NAMES, GROUPS
+from tractlake.model import DPG, GROUP_NAMES, GROUPS, Header
 from tractlake.sources import tck, trk, trx, tt, vtk
-from tractlake.sources.parsed import Lines, batches, read_bytes, schema_of
+from tractlake.sources.parsed import Lines, batches, read_bytes, read_head, schema_of
 
 HEADER = "voxel_to_rasmm array<array<double>>, dimensions array<bigint>, nb_streamlines bigint, nb_vertices bigint, extra string"
 SMALL = {"groups": GROUPS, "group_names": GROUP_NAMES, "dpg": DPG, "header": HEADER}
@@ -35,25 +35,39 @@ def labels_of(path: str) -> list[str]:
         return []
 
 
-def parse(kind: str, path: str, options: dict | None = None) -> Lines:
-    """A file that is not a container, whole."""
-    data = read_bytes(path)
+def parse_bytes(kind: str, data: bytes, options: dict | None = None, labels: list[str] | None = None) -> Lines:
+    """The content of a file that is not a container, whole."""
     if kind == "tt":
-        return tt.parse(data, labels=labels_of(path))
+        return tt.parse(data, labels=labels)
     if kind == "vtk":
         return vtk.parse(data, mode=(options or {}).get("vtkspace", (options or {}).get("vtkSpace", "ras")).lower())
     return {"tck": tck, "trk": trk}[kind].parse(data)
 
 
-def small_rows(kind: str, path: str, name: str, options: dict):
-    """Rows of groups, group_names, dpg or header."""
+def parse(kind: str, path: str, options: dict | None = None) -> Lines:
+    """A file that is not a container, whole."""
+    return parse_bytes(kind, read_bytes(path), options, labels_of(path) if kind == "tt" else None)
+
+
+def describe(kind: str, path: str) -> Lines:
+    """Header and attributes of a file that is not a container, without its streamlines: what the driver needs to know."""
+    if kind == "trk":
+        return trk.parse(read_head(path, trk.SIZE), streamlines=False)
+    if kind == "tt":
+        return tt.parse(read_bytes(path), streamlines=False)
+    read_head(path, 1)  # neither of the others says anything of its own
+    return Lines.of(Header(), [])
+
+
+def small_rows(kind: str, path: str, name: str, options: dict, lines: Lines | None = None):
+    """Rows of groups, group_names, dpg or header, of a file or of what was parsed of one."""
     if kind == "trx":
         c = trx.Container(path)
         groups = {g: (a, c.array(e, a)) for g, (e, a) in c.groups.items()}
         dpg = [(g, f, a, c.array(e, a).reshape(-1, a.ncols)) for g, fields in c.dpg.items() for f, (e, a) in fields.items()]
         header, n, v = c.header, len(c.offsets()) - 1, c.n_vertices()
     else:
-        lines = parse(kind, path, options)
+        lines = lines or parse(kind, path, options)
         from tractlake.model import Array
 
         groups = {g: (Array("uint32"), np.array(m)) for g, m in lines.groups.items()}
@@ -86,7 +100,7 @@ class TractSource(DataSource):
             c = trx.Container(self.options["path"])
             return schema_of(c.dtype, {n: a for n, (_, a) in c.dps.items()}, {n: a for n, (_, a) in c.dpv.items()})
         if self.kind == "trk":
-            lines = parse(self.kind, self.options["path"])
+            lines = describe(self.kind, self.options["path"])
             return schema_of("float32", lines.dps_arrays, lines.dpv_arrays)
         return schema_of("float32", {}, {})
 

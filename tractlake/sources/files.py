@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from tractlake.errors import ArgumentError, FormatError
 from tractlake.model import Header, Tractogram
 from tractlake.operators.cast import cast_positions
-from tractlake.sources import datasource, nifti, tck, trx, vtk
+from tractlake.sources import datasource, nifti, remote, tck, trx, vtk
 from tractlake.sources.parsed import read_bytes
 
 # Endings and what they mean; any folder is a container.
@@ -38,8 +38,10 @@ def detect_format(path: str) -> str:
 
 
 def load(spark: SparkSession, path: str, options: Options | None = None) -> Tractogram:
-    """All of a file: attributes, groups, attributes of groups and header."""
+    """All of a file: attributes, groups, attributes of groups and header. A URI (hdfs://, s3a://, file://) goes through Spark's reader."""
     options = options or Options()
+    if remote.is_remote(path):
+        return remote.load(spark, path, detect_format(path), {"vtkspace": options.vtk_space}, options.header)
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     kind = detect_format(path)
@@ -49,7 +51,7 @@ def load(spark: SparkSession, path: str, options: Options | None = None) -> Trac
         c = trx.Container(path)
         dtype, header, dps, dpv = c.dtype, c.header, {n: a for n, (_, a) in c.dps.items()}, {n: a for n, (_, a) in c.dpv.items()}
     else:
-        lines = datasource.parse(kind, path, {"vtkSpace": options.vtk_space})
+        lines = datasource.describe(kind, path)
         dtype, header, dps, dpv = "float32", lines.header, lines.dps_arrays, lines.dpv_arrays
         if kind in ("tck", "vtk") and options.header is not None:
             header = options.header

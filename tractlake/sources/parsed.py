@@ -51,6 +51,17 @@ def read_bytes(path: str) -> bytes:
         raise FormatError(f"{path}: {e}") from e
 
 
+def read_head(path: str, n: int) -> bytes:
+    """The first n bytes of a file's content, gunzipped if need be."""
+    with open(path, "rb") as f:
+        zipped = f.read(2) == b"\x1f\x8b"
+    try:
+        with (gzip.open if zipped else open)(path, "rb") as f:
+            return f.read(n)
+    except (EOFError, gzip.BadGzipFile) as e:
+        raise FormatError(f"{path}: {e}") from e
+
+
 def schema_of(dtype: str, dps: dict[str, Array], dpv: dict[str, Array]) -> str:
     parts = ["sl_id bigint", f"points {points_type(dtype)}"]
     parts += [f"`dps_{n}` {column_type(a.dtype, a.ncols)}" for n, a in sorted(dps.items())]

@@ -60,8 +60,11 @@ def to_world(points: np.ndarray, head, order: list[tuple[int, int]], codes: list
     return np.column_stack([((turned[:, 0] * m[r, 0] + turned[:, 1] * m[r, 1]) + turned[:, 2] * m[r, 2]) + m[r, 3] for r in range(3)])
 
 
-def parse(data: bytes, header: Header | None = None, fields: bool = True) -> Lines:
-    """All streamlines; with ``fields`` False a file with scalars or properties is refused. A header given is ignored."""
+def parse(data: bytes, header: Header | None = None, fields: bool = True, streamlines: bool = True) -> Lines:
+    """All streamlines; with ``fields`` False a file with scalars or properties is refused. A header given is ignored.
+
+    With ``streamlines`` False only the header is read, and only it need be in ``data``.
+    """
     if len(data) < SIZE or data[:5] != b"TRACK":
         raise FormatError("not a TrackVis file")
     for end in "<>":
@@ -90,6 +93,8 @@ def parse(data: bytes, header: Header | None = None, fields: bool = True) -> Lin
         raise FormatError("TRK file has scalars or properties; convert it to keep them")
     floats, ints = np.dtype(end + "f4"), np.dtype(end + "i4")
     at, rows, props, declared = SIZE, [], [], int(head["count"])
+    if not streamlines:
+        data, declared = data[:SIZE], 0
     while at < len(data) and not (declared > 0 and len(rows) >= declared):
         if at + 4 > len(data):
             raise FormatError("TRK payload ends in a streamline's length")

@@ -82,8 +82,11 @@ def group_names(clusters: list[int], labels: list[str]) -> dict[int, str]:
     return out
 
 
-def parse(data: bytes, header: Header | None = None, labels: list[str] | None = None) -> Lines:
-    """Streamlines with a group for each cluster and a colour for each group. A header given is ignored."""
+def parse(data: bytes, header: Header | None = None, labels: list[str] | None = None, streamlines: bool = True) -> Lines:
+    """Streamlines with a group for each cluster and a colour for each group. A header given is ignored.
+
+    With ``streamlines`` False tracks are not decoded.
+    """
     found = records(data)
     dims = record(found, "dimension", 20, 3)
     record(found, "voxel_size", 10, 3)
@@ -96,10 +99,10 @@ def parse(data: bytes, header: Header | None = None, labels: list[str] | None =
             blocks.append((int(name[5:] or 0), name))
     if not blocks:
         raise FormatError("missing TT track payload")
-    lines = [x for _, name in sorted(blocks) for x in track(record(found, name, 50))]
+    lines = [x for _, name in sorted(blocks) for x in track(record(found, name, 50))] if streamlines else []
     cluster = record(found, "cluster", 40) if "cluster" in found else np.empty(0, np.uint16)
     colors = record(found, "color", 20) if "color" in found else np.empty(0, np.uint32)
-    if len(cluster) and len(cluster) != len(lines):
+    if streamlines and len(cluster) and len(cluster) != len(lines):
         raise FormatError(f"TT cluster count {len(cluster)} does not match streamline count {len(lines)}")
     extra = {}
     for key, name in (("tt_report", "report"), ("tt_parameter_id", "parameter_id")):
