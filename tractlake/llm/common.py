@@ -20,12 +20,14 @@ BATCH, CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.clas
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tractlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found

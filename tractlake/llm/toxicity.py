@@ -183,43 +183,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return calibrated(model, np.array([r[1] for r in measured]), np.array([r[0] for r in measured], dtype=float), count.get(1, 0) / max(1, sum(count.values())))
 
 
-def score(self, texts: list[bytes]) -> np.ndarray:
-        x = self.features(texts)
-        return sigmoid(self.weights[0] + x @ self.weights[1:])
-
-
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model | None:
-    """A model of labelled texts, where ``share`` of all labelled rows are toxic; None if a class is empty."""
-    if not toxic or not ordinary:
-        return None
-    stems = toxic_stems(toxic, ordinary)
-    # commonest last, where matches cost least
-    model = Model(ordinary_content(ordinary, stems), b"".join(reversed(stems)))
-    x = model.features(toxic + ordinary)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    n = len(y)
-    weight = np.where(y == 1, share * n / len(toxic), (1 - share) * n / len(ordinary))
-    model.weights = logistic(x, y, weight)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from at most ``rows`` labelled rows of either class outside the held-out fold, chosen by a hash of the key."""
-    spark = docs.sparkSession
-    labels = labels.where(~held_out(key) & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y"))
-    count = {r[0]: r[1] for r in labels.groupBy("__y").count().collect()}
-    chosen = [r for y in (0, 1) for r in labels.where(F.col("__y") == y).orderBy(F.xxhash64("__key", F.lit(3)), "__key").limit(rows).collect()]
-    if not chosen:
-        return None
-    few = spark.createDataFrame(chosen, labels.schema).dropDuplicates()
-    texts: dict[int, list] = {0: [], 1: []}
-    # at most 2 * rows keys: a bounded broadcast
-    for k, y, t in docs.select(key, text).join(F.broadcast(few), docs[key] == few["__key"]).select(key, "__y", text).collect():
-        texts[y].append((k, (t or "").encode()))
-    ordered = {y: [t for _, t in sorted(v)[: 2 * rows]] for y, v in texts.items()}
-    return fit(ordered[1], ordered[0], count.get(1, 0) / max(1, sum(count.values())))
-
-
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
     """The rows with ``name``: how likely each whole text is toxic, from 0 to 1.
 
