@@ -27,7 +27,9 @@ from tractlake.shipping import ship
 #: Labelled rows of either class that are learned from, at most, and bytes of their texts: what the driver may hold.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 WINDOW, STEP = 12, 6
-LEVEL = 12
+LEVEL = 6
+#: Bytes that two neighbouring windows gain together, for weak and strong evidence.
+SOME, MANY = 4, 8
 #: Bytes of the two dictionaries' contents, at most; the toxic one takes stems while they fit, commonest first.
 ORDINARY_BYTES, TOXIC_BYTES = 20_480, 4_096
 #: Bytes of a word's beginning that the toxic dictionary may hold, space included.
@@ -108,15 +110,17 @@ class Model:
         self.ordinary, self.toxic, self.weights = ordinary, toxic, None
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        pad = b" " * 16
-        plain, other = compressor(pad + self.ordinary), compressor(pad + self.toxic + pad + self.ordinary)
+        # the toxic part stands last, where matches cost least; zeros stand in its place in the other dictionary, so that
+        # what both have is equally far away
+        gap = bytes(16)
+        plain, other = compressor(self.ordinary + gap + bytes(len(self.toxic))), compressor(self.ordinary + gap + self.toxic)
         out = np.zeros((len(texts), 7))
         for i, text in enumerate(texts):
             gain = np.fromiter((len(plain.compress(w)) - len(other.compress(w)) for w in windows(text)), dtype=np.int64)
             # each word but the first few stands in two windows, whose gains count together
             pair = gain[:-1] + gain[1:] if len(gain) > 1 else gain * 2
-            some, many = (pair >= 3).sum(), (pair >= 7).sum()
-            out[i] = min(pair.max(), 12) / 4, np.log1p(some), np.log1p(many), 10 * some / len(pair), 10 * many / len(pair), pair.mean(), np.log1p(len(pair))
+            some, many = (pair >= SOME).sum(), (pair >= MANY).sum()
+            out[i] = min(pair.max(), 2 * MANY) / 4, np.log1p(some), np.log1p(many), 10 * some / len(pair), 10 * many / len(pair), pair.mean(), np.log1p(len(pair))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -164,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 taken.append(r[0])
                 size += r[1]
     ids = F.broadcast(spark.createDataFrame([(i,) for i in taken], "id long"))
-    found = found.join(ids, "id").select("order", "y", "text")
+    found = found.join(ids, "id").select("key", "y", "text")
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for y, t in found.orderBy("order", "y", "text").select("y", "text").collect():
+    for y, t in found.orderBy("key", "y", "text").select("y", "text").collect():
         texts[y].append(t.encode())
     if not texts[0] or not texts[1]:
         return None
