@@ -85,8 +85,9 @@ def minus_zeros(points: Column) -> Column:
     def of(axis: str, k: int) -> Column:
         return F.filter(F.transform(points, lambda p, i: F.when(minus(p[axis]), i * 3 + k)), lambda v: v.isNotNull())
 
-    zero = F.exists(points, lambda p: (p["x"] == 0) | (p["y"] == 0) | (p["z"] == 0))
-    return F.when(zero, F.flatten(F.array(*(of(a, k) for k, a in enumerate(AXES)))))
+    # most axes have no zero at all, which is seen without a loop in lambdas
+    some = lambda axis, k: F.when(F.array_contains(points[axis], f32(0.0)), of(axis, k)).otherwise(F.array().cast("array<int>"))
+    return F.concat(*(some(a, k) for k, a in enumerate(AXES)))
 
 
 def geometry_key(points: Column) -> Column:

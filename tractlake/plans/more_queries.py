@@ -161,10 +161,10 @@ def dedupe_near_copies(spark, sf):
 _NEAR_LENGTH = ", st AS (SELECT sl_id, v_idx, sqrt(((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS d FROM v WINDOW w AS (PARTITION BY sl_id ORDER BY v_idx))"
 
 
-@query(_NEAR_LENGTH + " SELECT sl_id, round(coalesce(sum(d), 0.0), 1) AS len, round(min(x)::DOUBLE, 3) AS x_min, round(max(y)::DOUBLE, 3) AS y_max FROM v JOIN st USING (sl_id, v_idx) GROUP BY 1", EVENTS_SQL)
+@query(_NEAR_LENGTH + " SELECT sl_id, round(coalesce(list_reduce(list(d::FLOAT ORDER BY v_idx) FILTER (WHERE d IS NOT NULL), lambda a, b: (a + b)::FLOAT), 0.0)::DOUBLE, 2) AS len, round(min(x)::DOUBLE, 3) AS x_min, round(max(y)::DOUBLE, 3) AS y_max FROM v JOIN st USING (sl_id, v_idx) GROUP BY 1", EVENTS_SQL)
 def near_descriptors(spark, sf):
     rows = near.described(events(spark, sf).streamlines, near.NearParams())
-    return rows.select("sl_id", F.round(F.col("len").cast("double"), 1).alias("len"), F.round(F.col("x_min").cast("double"), 3).alias("x_min"), F.round(F.col("y_max").cast("double"), 3).alias("y_max"))
+    return rows.select("sl_id", F.round(F.col("len").cast("double"), 2).alias("len"), F.round(F.col("x_min").cast("double"), 3).alias("x_min"), F.round(F.col("y_max").cast("double"), 3).alias("y_max"))
 
 
 #: Cells of 20 that polylines pass, sampled at half a cell in single precision.
