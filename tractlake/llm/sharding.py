@@ -50,9 +50,10 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", t
     rows = rows.join(F.broadcast(large), "hash", "left").select(spread.alias("hash"), ROW)
     bucket = F.pmod("hash", F.lit(n_buckets)).cast("int")
     n_tasks = -(-n_buckets // BUCKETS_PER_TASK)
-    scattered = rows.withColumn("bucket", bucket).repartitionById(n_tasks, F.pmod("bucket", F.lit(n_tasks))).sortWithinPartitions("bucket", "hash")
+    # the task is a grouping column too, so that rows dealt by task need no second shuffle to be grouped
+    scattered = rows.withColumn("bucket", bucket).withColumn("task", F.pmod("bucket", F.lit(n_tasks))).repartitionById(n_tasks, "task").sortWithinPartitions("task", "bucket", "hash")
     by_hash = lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(0)
-    buckets = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("hash", ROW)), by_hash).alias("rows"))
+    buckets = scattered.groupBy("task", "bucket").agg(F.array_sort(F.collect_list(F.struct("hash", ROW)), by_hash).alias("rows"))
     shuffled = buckets.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "rec")).select("bucket", "pos", F.col(f"rec.{ROW}").alias(ROW))
     # sorted aggregation: buckets of a partition come one by one
     before = spark.conf.get(_HASH_AGG)
