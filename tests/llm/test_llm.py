@@ -65,6 +65,14 @@ def test_sharding(spark, docs, rows, empty):
     assert sorted(r.shard for r in few) == [0, 1, 2, 3] and {r.slot for r in few} == {0}
 
 
+def test_sharding_tasks_hold_few_buckets(spark):
+    # 640 texts of 1,000 bytes in buckets of 10,000: a task's file has two buckets of them, not eight
+    df = spark.createDataFrame([(i, f"{i:04d}" * 246) for i in range(640)], "doc_id long, text string").repartition(3)
+    out = sharding.shard(df, 4, bucket_bytes=10_000)
+    files = Counter(r.f for r in spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles() if "-buckets/" in f}).select(F.input_file_name().alias("f")).collect())
+    assert sum(files.values()) == 640 and max(files.values()) <= 50 and len(files) >= 30
+
+
 def test_sharding_equal_rows_and_odd_columns(spark):
     rows = [(5, "same", {"a": 1}, 1)] * 300 + [(None, None, None, 2)] * 100 + [(i, f"text {i}", {}, 3) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, __bucket int")

@@ -17,8 +17,11 @@ from tractlake.llm.common import ROW, Scratch, carried, table, total
 RECORD_BYTES = 16
 #: Uncompressed bytes of a bucket: with the copies that sorting and shuffling make, a task needs a few times as much.
 BUCKET_BYTES = 16 << 20
-#: Buckets of a shuffle partition. They are gathered one after another, so a task holds one at a time.
-BUCKETS_PER_TASK = 8
+#: Buckets of a shuffle partition. They are gathered one after another, but a task fetches, sorts and writes all of them:
+#: few, so that what it holds is a small part of an executor.
+BUCKETS_PER_TASK = 2
+#: Shuffle partitions, at most: beyond, they have more buckets each, and sorting them spills.
+MOST_TASKS = 100_000
 _HASH_AGG = "spark.sql.execution.useObjectHashAggregateExec"
 
 
@@ -49,7 +52,7 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", t
     spread = F.when(F.col("large"), F.xxhash64("hash", F.monotonically_increasing_id())).otherwise(F.col("hash"))
     rows = rows.join(F.broadcast(large), "hash", "left").select(spread.alias("hash"), ROW)
     bucket = F.pmod("hash", F.lit(n_buckets)).cast("int")
-    n_tasks = -(-n_buckets // BUCKETS_PER_TASK)
+    n_tasks = min(-(-n_buckets // BUCKETS_PER_TASK), MOST_TASKS)
     # the task is a grouping column too, so that rows dealt by task need no second shuffle to be grouped
     scattered = rows.withColumn("bucket", bucket).withColumn("task", F.pmod("bucket", F.lit(n_tasks))).repartitionById(n_tasks, "task").sortWithinPartitions("task", "bucket", "hash")
     by_hash = lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(0)
