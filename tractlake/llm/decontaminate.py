@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tractlake.llm.common import Scratch, table
+from tractlake.llm.memory import trimmed
 from tractlake.llm.textkernel import mix, shingle_sets, shingles_in_order, slices, sliding_min, text_bytes, word_hashes
 from tractlake.shipping import ship
 
@@ -136,7 +137,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
                     ids_ = pa.array([block.ids[i] for i in item], id_type)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids_, pa.array(n, pa.int64()), pa.array(common, pa.int64()), pa.array([c / m for c, m in zip(common, n, strict=True)], pa.float64())], [key, item_key, "n_shingles", "n_common", "containment"])
 
-        found = docs.select(key, text).mapInArrow(run, schema)
+        found = docs.select(key, text).mapInArrow(trimmed(run), schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -165,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                     clean[at] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(trimmed(run), docs.schema)
     return out
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tractlake.llm.common import Scratch, components, counted, table, total
+from tractlake.llm.memory import trimmed
 from tractlake.llm.textkernel import mix, shingle_sets, text_bytes
 
 #: Shingles for each counter of the frequency sketch, and the bits of its size: the driver and every task hold it once.
@@ -63,7 +64,7 @@ def sets_of(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 digests.append(set_digest(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary")
+    return docs.select(key, text).mapInArrow(trimmed(run), f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary")
 
 
 class Sketch:
@@ -94,7 +95,7 @@ def sketch_of(docs: DataFrame, k: int, text: str, n_shingles: int) -> Sketch:
             yield pa.RecordBatch.from_arrays([pa.array(few.astype(np.int32)), pa.array(count[few])], ["i", "c"])
 
     out = np.zeros(size, dtype=np.int64)
-    found = docs.select(text).mapInArrow(run, "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    found = docs.select(text).mapInArrow(trimmed(run), "i int, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     out[found.column("i").to_numpy()] = found.column("c").to_numpy()
     return Sketch(out)
 
@@ -114,7 +115,7 @@ def prefixes_of(docs: DataFrame, frequency: Sketch, k: int, percent: int, key: s
                 prefixes.append(first_by(order, s, prefix_length(len(s), percent)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "digest", "prefix"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary, prefix array<bigint>").where("prefix is not null")
+    return docs.select(key, text).mapInArrow(trimmed(run), f"id {docs.schema[key].dataType.simpleString()}, n long, digest binary, prefix array<bigint>").where("prefix is not null")
 
 
 def filters_of(docs: DataFrame, frequency: Sketch, k: int, percent: int) -> DataFrame:
@@ -136,7 +137,7 @@ def filters_of(docs: DataFrame, frequency: Sketch, k: int, percent: int) -> Data
                     column.append(x.view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], ["id", "n", "same", *names])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, same long, " + ", ".join(f"{x} array<int>" for x in names))
+    return docs.select("id", "text").mapInArrow(trimmed(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, same long, " + ", ".join(f"{x} array<int>" for x in names))
 
 
 def enough_in_prefixes(percent: int):
@@ -160,7 +161,7 @@ def tokens_of(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(text_bytes(batch.column(1)), k)], pa.list_(pa.int64()))], ["id", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens array<bigint>")
+    return docs.select("id", "text").mapInArrow(trimmed(run), f"id {docs.schema['id'].dataType.simpleString()}, tokens array<bigint>")
 
 
 def place_of(n: str, pos: str):

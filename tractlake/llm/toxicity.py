@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tractlake.llm.common import Scratch, table
 from tractlake.llm.labelled import held_out, logistic, sigmoid
+from tractlake.llm.memory import trim, trimmed
 from tractlake.llm.textkernel import text_bytes
 from tractlake.shipping import ship
 
@@ -175,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not texts[0] or not texts[1]:
         return None
     model = dictionaries(texts[1], texts[0])
+    texts.clear()
+    trim()
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -182,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = shared.value.features(text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    measured = found.select("y", "text").repartition(1 + len(taken) // MEASURED).mapInArrow(measure, "y int, x array<double>").collect()
+    measured = found.select("y", "text").repartition(1 + len(taken) // MEASURED).mapInArrow(trimmed(measure), "y int, x array<double>").collect()
     measured = sorted(measured)  # sums of floats in an order of their own
     return calibrated(model, np.array([r[1] for r in measured]), np.array([r[0] for r in measured], dtype=float), count.get(1, 0) / max(1, sum(count.values())))
 
@@ -209,7 +212,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, name])
 
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
