@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 from tractlake.errors import ArgumentError, FormatError
 from tractlake.model import Header, Tractogram
 from tractlake.operators.cast import cast_positions
-from tractlake.sources import datasource, nifti, remote, tck, trx, vtk
+from tractlake.sources import datasource, nifti, parts, remote, tck, trx, vtk
 from tractlake.sources.parsed import read_bytes
 
+#: Streamlines whose point numbers are made into text at a time.
+SIZES = 65_536
 # Endings and what they mean; any folder is a container.
 ENDINGS = {".trx": "trx", ".tck": "tck", ".tck.gz": "tck", ".trk": "trk", ".trk.gz": "trk", ".vtk": "vtk", ".tt.gz": "tt"}
 
@@ -76,11 +78,43 @@ def reference_header(path: str) -> Header:
     raise ArgumentError(f"no reference: {path}")
 
 
-def _lines(t: Tractogram):
-    for batch in trx.arrow_in_order(t.streamlines.select("sl_id", "points"), "sl_id"):
-        points = batch.column("points")
-        flat = np.column_stack([points.flatten().field(a).to_numpy(zero_copy_only=False) for a in "xyz"]).astype(np.float32)
-        yield from np.split(flat, np.cumsum(np.diff(points.offsets.to_numpy()))[:-1]) if len(points) else ()
+def _write_tck(t: Tractogram, path: str) -> None:
+    zipped = path.endswith(".gz")
+
+    def encode(batch) -> parts.Encoded:
+        flat, sizes = trx.flat_points(batch.column("points"))
+        return {"lines": tck.encoded(flat.astype(np.float32), sizes, zipped)}, {"n": batch.num_rows}
+
+    with parts.folder_of(t.spark, path) as folder:
+        found = parts.write(t.streamlines.select("sl_id", "points"), "sl_id", folder, encode)
+        tck.write_encoded(path, parts.total(found, "n"), parts.blocks(found, "lines"))
+
+
+def _write_vtk(t: Tractogram, path: str) -> None:
+    """Points as text by tasks; then, as it is known how many stand before a part, the lines of their numbers."""
+
+    def encode(batch) -> parts.Encoded:
+        flat, sizes = trx.flat_points(batch.column("points"))
+        return {"points": vtk.points_text(flat.astype(np.float32)), "sizes": sizes.astype("<u4").tobytes()}, {"n": batch.num_rows, "v": len(flat)}
+
+    def number(given):
+        own, at = given
+        for _, source, _ in [x for x in own if x[0] == "sizes"]:
+            with open(source, "rb") as f, open(f"{source}.lines", "wb") as out:
+                while block := f.read(4 * SIZES):
+                    sizes = np.frombuffer(block, "<u4")
+                    out.write(vtk.lines_text(sizes, at))
+                    at += int(sizes.sum())
+            return [["lines", f"{source}.lines", os.path.getsize(f"{source}.lines")]]
+        return []
+
+    with parts.folder_of(t.spark, path) as folder:
+        found = parts.write(t.streamlines.select("sl_id", "points"), "sl_id", folder, encode)
+        bases = np.cumsum([0, *(p.numbers.get("v", 0) for p in found)]).tolist()
+        given = [(p.files, at) for p, at in zip(found, bases, strict=False)]
+        told = t.spark.sparkContext.parallelize(given, len(given)).map(number).collect() if folder.shared and given else map(number, given)
+        lines = [parts.checked(parts.Part(files, {})) for files in told]
+        vtk.write_texts(path, parts.total(found, "n"), parts.total(found, "v"), parts.blocks(found, "points"), parts.blocks(lines, "lines"))
 
 
 def write_tractogram(t: Tractogram, path: str, options: Options | None = None) -> None:
@@ -93,11 +127,7 @@ def write_tractogram(t: Tractogram, path: str, options: Options | None = None) -
             out = out.with_(header=Header(options.header.affine, options.header.dimensions, t.header.extra))
         trx.write(path, out, options.compress_groups)
     elif kind in ("tck", "vtk"):
-        n, v = t.counts().first()
-        if kind == "tck":
-            tck.write(path, n, _lines(t))
-        else:
-            vtk.write(path, n, v, _lines(t))
+        (_write_tck if kind == "tck" else _write_vtk)(t, path)
     else:
         raise FormatError(f"writing {kind} is not supported")
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,6 +52,27 @@ def read_bytes(path: str) -> bytes:
         raise FormatError(f"{path}: {e}") from e
 
 
+@contextmanager
+def opened(path: str):
+    """A file's content to read from, gunzipped as it is read if need be."""
+    with open(path, "rb") as f:
+        zipped = f.read(2) == b"\x1f\x8b"
+    try:
+        with (gzip.open if zipped else open)(path, "rb") as f:
+            yield f
+    except (EOFError, gzip.BadGzipFile) as e:
+        raise FormatError(f"{path}: {e}") from e
+
+
+def joined(header: Header, pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> Lines:
+    """All pieces of a file, whole."""
+    positions, sizes = [np.empty((0, 3), np.float32)], [np.zeros(1, np.int64)]
+    for flat, offsets in pieces:
+        positions.append(flat)
+        sizes.append(np.diff(offsets))
+    return Lines(header, np.concatenate(positions), np.cumsum(np.concatenate(sizes)))
+
+
 def read_head(path: str, n: int) -> bytes:
     """The first n bytes of a file's content, gunzipped if need be."""
     with open(path, "rb") as f:

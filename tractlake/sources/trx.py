@@ -5,15 +5,20 @@ from __future__ import annotations
 import os
 import shutil
 import struct
+import time
 import zipfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 from tractlake.errors import FormatError
 from tractlake.model import DTYPES, FLOATS, Array, Header
+from tractlake.sources import parts
 
 MAX_ID = (1 << 32) - 1
+#: Offsets that are looked at together.
+PIECE = 1 << 20
 
 
 def parse_name(name: str) -> tuple[str, Array]:
@@ -101,6 +106,11 @@ class Container:
             return self._shaped(np.empty(0, kind), array)
         return self._shaped(np.memmap(path, kind, "r", at, (size // kind.itemsize,)), array)
 
+    def rows(self, entry: str, array: Array) -> int:
+        """Rows of an array, by its size."""
+        size = self.zip[entry].file_size if self.zip is not None else os.path.getsize(os.path.join(self.path, entry))
+        return size // (np.dtype(array.dtype).itemsize * max(1, array.ncols))
+
     @staticmethod
     def _shaped(flat: np.ndarray, array: Array) -> np.ndarray:
         return flat if array.ncols == 1 else flat.reshape(-1, array.ncols)
@@ -108,22 +118,38 @@ class Container:
     def positions(self) -> np.ndarray:
         return self.array(self.core["positions"], parse_name(self.core["positions"])[1])
 
-    def offsets(self) -> np.ndarray:
-        """Offsets with the last one, which files may lack; a wrong length or order is an error."""
-        found = np.asarray(self.array(self.core["offsets"], parse_name(self.core["offsets"])[1])).astype(np.int64)
-        n = self.n_vertices()
+    def raw_offsets(self) -> np.ndarray:
+        """Offsets as they are in the file."""
+        return self.array(self.core["offsets"], parse_name(self.core["offsets"])[1])
+
+    def n_streamlines(self) -> int:
+        """How many streamlines there are; offsets of a wrong length or order are an error. They are looked at in pieces."""
+        found, n, declared = self.raw_offsets(), self.n_vertices(), self.declared()
         if not len(found):
-            return np.zeros(1, np.int64)
-        declared = self.declared()
-        if declared is not None and len(found) == declared:
-            found = np.append(found, n)
-        elif declared is not None and len(found) != declared + 1:
+            return 0
+        lacks = declared is not None and len(found) == declared
+        if declared is not None and not lacks and len(found) != declared + 1:
             raise FormatError(f"{len(found)} offsets for {declared} streamlines")
-        if found[-1] != n or (np.diff(found) < 0).any() or found[0] != 0:
+        last = 0
+        for lo in range(0, len(found), PIECE):
+            piece = np.asarray(found[lo : lo + PIECE]).astype(np.int64)
+            if (lo == 0 and piece[0] != 0) or piece[0] < last or (np.diff(piece) < 0).any():
+                raise FormatError("offsets don't fit the positions")
+            last = int(piece[-1])
+        if last > n or not lacks and last != n:
             raise FormatError("offsets don't fit the positions")
         if n > MAX_ID:
             raise FormatError("offsets exceed 32 bits")
-        return found
+        return len(found) if lacks else len(found) - 1
+
+    def offsets(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Offsets with the last one, which files may lack. Those of some streamlines are taken as they are, once checked."""
+        if hi is None:
+            hi = self.n_streamlines()
+            if not hi:
+                return np.zeros(1, np.int64)
+        found = np.asarray(self.raw_offsets()[lo : hi + 1]).astype(np.int64)
+        return np.append(found, self.n_vertices()) if len(found) < hi - lo + 1 else found
 
     def n_vertices(self) -> int:
         return len(self.positions())
@@ -137,70 +163,128 @@ class Container:
 def write(path: str, tractogram, compress_groups: bool = False) -> None:
     """Write a tractogram as a folder, or an archive if the path ends in .trx.
 
-    Streamlines stream through the driver in order of id, one partition at a time, and are appended to the arrays' files:
-    a container is one file for each array, however many rows it has. The container appears under its name when whole.
+    Tasks write streamlines in order of id, and members of groups, as parts of the arrays' files; the driver joins them,
+    as a container is one file for each array, however many rows it has. The container appears under its name when whole.
     """
     t = tractogram
     work = f"{path}.writing"
     shutil.rmtree(work, ignore_errors=True)
-    os.makedirs(work)
-    opened = {}
-
-    def out(entry: str):
-        if entry not in opened:
-            os.makedirs(os.path.dirname(os.path.join(work, entry)) or work, exist_ok=True)
-            opened[entry] = open(os.path.join(work, entry), "wb")  # noqa: SIM115
-        return opened[entry]
-
-    positions, offsets = out(f"positions.3.{t.dtype}"), out("offsets.uint32")
-    files = {f"dps_{n}": (out(f"dps/{file_name(n, a)}"), a) for n, a in t.dps.items()} | {f"dpv_{n}": (out(f"dpv/{file_name(n, a)}"), a) for n, a in t.dpv.items()}
-    n = v = 0
-    try:
-        for batch in arrow_in_order(t.streamlines.select("sl_id", "points", *(f"`{c}`" for c in files)), "sl_id"):
-            points = batch.column("points")
-            sizes = np.diff(points.offsets.to_numpy())
-            flat = np.column_stack([points.flatten().field(a).to_numpy(zero_copy_only=False) for a in "xyz"]).astype(t.dtype)
-            positions.write(flat.astype(np.dtype(t.dtype).newbyteorder("<")).tobytes())
-            starts = v + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            v += int(sizes.sum())
-            if v > MAX_ID:
-                raise FormatError("more vertices than 32-bit offsets hold")
-            offsets.write(starts.astype("<u4").tobytes())
-            n += batch.num_rows
-            for c, (f, a) in files.items():
-                column = batch.column(c)
-                while pa.types.is_list(column.type):
-                    column = column.flatten()
-                f.write(np.array(column.to_pylist(), dtype=np.dtype(a.dtype)).astype(np.dtype(a.dtype).newbyteorder("<")).tobytes())
-        offsets.write(np.array([v], "<u4").tobytes())
-        kinds = {r["grp"]: r["dtype"] for r in t.group_names.collect()}
-        members = {g: out(f"groups/{g}.{d}") for g, d in kinds.items()}
-        for batch in arrow_in_order(t.groups.select("grp", "ord", "sl_id"), ["grp", "ord"]):
-            names, ids = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("sl_id").to_numpy()
-            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for name, part in zip(names[np.concatenate([[0], cuts])], np.split(ids, cuts), strict=True):
-                if name in members:
-                    members[name].write(part.astype(np.dtype(kinds[name]).newbyteorder("<")).tobytes())
-        for r in t.dpg.orderBy("grp", "field", "row_idx").toLocalIterator():
-            out(f"dpg/{r['grp']}/{file_name(r['field'], Array(r['dtype'], r['ncols']))}").write(np.array(r["value"]).astype(np.dtype(r["dtype"]).newbyteorder("<")).tobytes())
-    finally:
-        for f in opened.values():
-            f.close()
-    with open(os.path.join(work, "header.json"), "w") as f:
-        f.write(t.header.dump(n, v))
+    files = {f"dps_{n}": (f"dps/{file_name(n, a)}", a) for n, a in t.dps.items()} | {f"dpv_{n}": (f"dpv/{file_name(n, a)}", a) for n, a in t.dpv.items()}
+    kinds = {r["grp"]: r["dtype"] for r in t.group_names.collect()}
+    with parts.folder_of(t.streamlines.sparkSession, path) as folder:
+        lines = parts.write(t.streamlines.select("sl_id", "points", *(f"`{c}`" for c in files)), "sl_id", folder, _streamlines(t.dtype, files))
+        n, v = parts.total(lines, "n"), parts.total(lines, "v")
+        if v > MAX_ID:
+            raise FormatError("more vertices than 32-bit offsets hold")
+        members = parts.write(t.groups.select("grp", "ord", "sl_id"), ["grp", "ord"], folder, _members(kinds))
+        put = _Zip(f"{path}.part", compress_groups) if path.endswith(".trx") else _Folder(work)
+        try:
+            put.entry(f"positions.3.{t.dtype}", parts.blocks(lines, "positions"))
+            put.entry("offsets.uint32", _offsets(parts.blocks(lines, "sizes")))
+            for entry, _ in files.values():
+                put.entry(entry, parts.blocks(lines, entry))
+            for g, d in kinds.items():
+                put.entry(f"groups/{g}.{d}", parts.blocks(members, g))
+            fields: dict[str, list[bytes]] = {}
+            for r in t.dpg.orderBy("grp", "field", "row_idx").toLocalIterator():
+                entry = f"dpg/{r['grp']}/{file_name(r['field'], Array(r['dtype'], r['ncols']))}"
+                fields.setdefault(entry, []).append(_raw(np.array(r["value"]), r["dtype"]))
+            for entry, rows in fields.items():
+                put.entry(entry, rows)
+            put.entry("header.json", [t.header.dump(n, v).encode()])
+        finally:
+            put.close()
     if not path.endswith(".trx"):
         if os.path.isdir(path):
             shutil.rmtree(path)
         os.replace(work, path)
         return
-    with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_STORED) as z:
-        for d, _, names in os.walk(work):
-            for name in sorted(names):
-                full = os.path.join(d, name)
-                entry = os.path.relpath(full, work).replace(os.sep, "/")
-                z.write(full, entry, zipfile.ZIP_DEFLATED if compress_groups and entry.startswith("groups/") else zipfile.ZIP_STORED)
     os.replace(f"{path}.part", path)
-    shutil.rmtree(work)
+
+
+class _Folder:
+    def __init__(self, path: str):
+        self.path = path
+        os.makedirs(path)
+
+    def entry(self, name: str, blocks: Iterable[bytes]) -> None:
+        full = os.path.join(self.path, name)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "wb") as f:
+            f.writelines(blocks)
+
+    def close(self) -> None:
+        pass
+
+
+class _Zip:
+    def __init__(self, path: str, compress_groups: bool):
+        self.zip, self.compress_groups = zipfile.ZipFile(path, "w", zipfile.ZIP_STORED), compress_groups
+
+    def entry(self, name: str, blocks: Iterable[bytes]) -> None:
+        info = zipfile.ZipInfo(name, time.localtime()[:6])
+        info.external_attr = 0o644 << 16
+        info.compress_type = zipfile.ZIP_DEFLATED if self.compress_groups and name.startswith("groups/") else zipfile.ZIP_STORED
+        with self.zip.open(info, "w", force_zip64=True) as f:
+            for block in blocks:
+                f.write(block)
+
+    def close(self) -> None:
+        self.zip.close()
+
+
+def _raw(values: np.ndarray, dtype: str) -> bytes:
+    return np.ascontiguousarray(values).astype(np.dtype(dtype).newbyteorder("<")).tobytes()
+
+
+def numbers(column: pa.Array, dtype: str) -> np.ndarray:
+    """The numbers of a column, of lists too, as a flat array."""
+    while pa.types.is_list(column.type):
+        column = column.flatten()
+    if column.null_count or pa.types.is_decimal(column.type):
+        return np.array(column.to_pylist(), dtype=np.dtype(dtype))
+    return column.to_numpy(zero_copy_only=False).astype(np.dtype(dtype))
+
+
+def flat_points(points: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a batch's streamlines as rows, and how many each has."""
+    flat = points.flatten()
+    return np.column_stack([flat.field(a).to_numpy(zero_copy_only=False) for a in "xyz"]), np.diff(points.offsets.to_numpy())
+
+
+def _streamlines(dtype: str, files: dict):
+    """Of a batch of streamlines, bytes of each array; sizes stand for offsets, which need what comes before."""
+
+    def encode(batch: pa.RecordBatch) -> parts.Encoded:
+        flat, sizes = flat_points(batch.column("points"))
+        out = {"positions": _raw(flat.astype(dtype), dtype), "sizes": sizes.astype("<u4").tobytes()}
+        for c, (entry, a) in files.items():
+            out[entry] = _raw(numbers(batch.column(c), a.dtype), a.dtype)
+        return out, {"n": batch.num_rows, "v": int(sizes.sum())}
+
+    return encode
+
+
+def _members(kinds: dict[str, str]):
+    def encode(batch: pa.RecordBatch) -> parts.Encoded:
+        names, ids = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("sl_id").to_numpy()
+        if not len(names):
+            return {}, {}
+        cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+        found = zip(names[np.concatenate([[0], cuts])], np.split(ids, cuts), strict=True)
+        return {str(name): _raw(part, kinds[name]) for name, part in found if name in kinds}, {}
+
+    return encode
+
+
+def _offsets(sizes: Iterable[bytes]) -> Iterator[bytes]:
+    """Where each streamline begins, and the end, from their sizes."""
+    at = 0
+    for block in sizes:
+        ends = at + np.cumsum(np.frombuffer(block, "<u4"), dtype=np.int64)
+        yield np.concatenate([[at], ends[:-1]]).astype("<u4").tobytes()
+        at = int(ends[-1])
+    yield np.array([at], "<u4").tobytes()
 
 
 def arrow_in_order(df, key: str | list[str], rows: int = 4096):
