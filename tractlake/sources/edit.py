@@ -11,17 +11,17 @@ import os
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tractlake.errors import ArgumentError, FormatError
 from tractlake.model import Array, dtype_of
-from tractlake.sources.trx import Container, arrow_in_order, file_name
+from tractlake.sources import parts
+from tractlake.sources.trx import Container, file_name, numbers
 
 COPY_BYTES = 1 << 22
 
@@ -139,18 +139,11 @@ def _refuse_taken(puts: list[Put], gone: list[Delete], there: list[str]) -> None
 # arrays
 
 
-def _rows(values, array: Array) -> Iterator[np.ndarray]:
-    """Rows of an array in pieces: of numbers given, or of a frame (value, in order of its other columns)."""
-    kind = np.dtype(array.dtype).newbyteorder("<")
-    if isinstance(values, DataFrame):
-        order = [c for c in values.columns if c != "value"]
-        for batch in arrow_in_order(values, order):
-            column = batch.column(batch.schema.get_field_index("value"))
-            while pa.types.is_list(column.type):
-                column = column.flatten()
-            yield np.array(column.to_pylist(), dtype=np.dtype(array.dtype)).astype(kind).reshape(-1, array.ncols)
-    else:
-        yield np.asarray(values).astype(kind).reshape(-1, array.ncols)
+def _encoded(rows: np.ndarray, array: Array) -> parts.Encoded:
+    """Bytes of rows in any shape, how many they are, and the largest whole number."""
+    rows = rows.astype(np.dtype(array.dtype).newbyteorder("<")).reshape(-1, array.ncols)
+    high = {"max": int(rows.max())} if rows.size and array.dtype not in ("float16", "float32", "float64") else {}
+    return {"value": rows.tobytes()}, {"n": len(rows), **high}
 
 
 def _array(kind: str | Array, values) -> Array:
@@ -167,16 +160,19 @@ class _Staged:
         self.folder, self.count = folder, 0
 
     def write(self, values, array: Array) -> tuple[str, int, int]:
-        """Path, rows and largest value."""
+        """Path, rows and largest value of numbers given, or of a frame (value, in order of its other columns)."""
         self.count += 1
-        path, n, high = os.path.join(self.folder, str(self.count)), 0, -1
-        with open(path, "wb") as out:
-            for rows in _rows(values, array):
-                out.write(rows.tobytes())
-                n += len(rows)
-                if rows.size and array.dtype not in ("float16", "float32", "float64"):
-                    high = max(high, int(rows.max()))
-        return path, n, high
+        path = os.path.join(self.folder, str(self.count))
+        if not isinstance(values, DataFrame):
+            data, found = _encoded(np.asarray(values), array)
+            with open(path, "wb") as out:
+                out.write(data["value"])
+            return path, found["n"], found.get("max", -1)
+        encode = lambda batch: _encoded(numbers(batch.column("value"), array.dtype), array)
+        with parts.folder_of(values.sparkSession, path) as folder, open(path, "wb") as out:
+            found = parts.write(values, [c for c in values.columns if c != "value"], folder, encode)
+            out.writelines(parts.blocks(found, "value"))
+        return path, parts.total(found, "n"), parts.total(found, "max", -1)
 
 
 @contextmanager
@@ -215,7 +211,7 @@ def _check_name(name: str) -> None:
 def append_dps(path: str, arrays: Mapping, overwrite: bool = False) -> None:
     """Add attributes of streamlines: name to (dtype or Array, values as numbers or a frame (sl_id, value))."""
     c = Container(path)
-    _append_arrays(path, "dps", arrays, len(c.offsets()) - 1, c.dps, overwrite)
+    _append_arrays(path, "dps", arrays, c.n_streamlines(), c.dps, overwrite)
 
 
 def append_dpv(path: str, arrays: Mapping, overwrite: bool = False) -> None:
@@ -227,7 +223,7 @@ def append_dpv(path: str, arrays: Mapping, overwrite: bool = False) -> None:
 def append_groups(path: str, groups: Mapping, overwrite: bool = False, deflate: bool = False, dtype: str = "uint32") -> None:
     """Add groups: name to members, as numbers or a frame (ord, value). Members must exist."""
     c = Container(path)
-    n, array = len(c.offsets()) - 1, Array(dtype_of(dtype))
+    n, array = c.n_streamlines(), Array(dtype_of(dtype))
     with _staging(path) as staged:
         changes: list[Put | Delete] = []
         for name, members in groups.items():
