@@ -27,6 +27,8 @@ from tractlake.shipping import ship
 
 #: Rows of a cell beyond which it is split by where its rows end.
 CROWDED = 1_000
+#: Rows of a block of either side whose pairs one task makes at a time, and tasks at most.
+BLOCK, TASKS = 2_000, 50_000
 #: A cell itself, and half of its neighbours: those that come later in order.
 HALF = [d for d in itertools.product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
 #: Points that are tested first, point-to-segment distances at a time, and voxels that a task remembers.
@@ -90,10 +92,12 @@ def candidates(rows: DataFrame, passes: Column | None = None) -> DataFrame:
     """Pairs of ids (a_sl_id < b_sl_id) of described rows whose end cells differ by one at most, and that ``passes``.
 
     A row meets the 13 cells of a half space around its first cell, and those of its own cell with a larger id, so each
-    pair is met once. Cells with more than CROWDED rows are split by the cells of the last end, two by two. Only
-    descriptors travel: points are fetched for the pairs that are left. ``passes`` is on columns a_* and b_*, either way round.
+    pair is met once. Cells with more than CROWDED rows are split by the cells of the last end, two by two. What then
+    still meets in very many pairs is dealt out by blocks of BLOCK rows of either side, so that no task has more than its
+    share, whatever its rows weigh. Only descriptors travel: points are fetched for the pairs that are left. ``passes`` is
+    on columns a_* and b_*, either way round.
     """
-    own = rows.drop("points")
+    own = saved(rows.drop("points"))
     cell = [f"c_{a}" for a in G.AXES]
     placed = own.withColumns({c: F.col(f"first_{a}").cast("bigint") for c, a in zip(cell, G.AXES, strict=True)})
     crowded = saved(placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(*cell, F.lit(True).alias("crowded")))
@@ -109,6 +113,19 @@ def candidates(rows: DataFrame, passes: Column | None = None) -> DataFrame:
         left = left.withColumn(f"k_{a}", F.explode(split(both_ways(a))))
         right = right.withColumn(f"k_{a}", F.get(split(F.array(coarse(F.col(f"last_{a}").cast("bigint")))), F.lit(0)))
     keys = [*cell, *(f"k_{a}" for a in G.AXES)]
+    meeting = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("nl")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("nr")), keys)
+    meeting = saved(meeting.select(*keys, (F.col("nl") * F.col("nr")).alias("pairs"), *(F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("nl", "blocks_l"), ("nr", "blocks_r")))))
+    met = meeting.agg(F.sum(F.col("pairs").cast("double"))).first()[0] or 0
+    tasks = int(min(max(met // BLOCK**2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), TASKS))
+    many = meeting.where("blocks_l * blocks_r > 1").drop("pairs")
+    # each row is in one block of its side, and meets all of the other's
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    one = lambda n: F.pmod(F.xxhash64("sl_id"), F.coalesce(n, F.lit(1))).cast("int")
+    left = left.join(many, keys, "left").withColumns({"block_l": one(F.col("blocks_l")), "block_r": every(F.col("blocks_r"))})
+    right = right.join(many, keys, "left").withColumns({"block_r": one(F.col("blocks_r")), "block_l": every(F.col("blocks_l"))})
+    keys += ["block_l", "block_r"]
+    # by number, as Spark would put small rows into few tasks, however many pairs they make
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     side = lambda df, s, more: df.select(*keys, *more, *(F.col(c).alias(f"{s}_{c}") for c in own.columns))
     same = (F.col("d.x") == 0) & (F.col("d.y") == 0) & (F.col("d.z") == 0)
     near = F.col("same_cell") & (F.col("a_sl_id") < F.col("b_sl_id")) | ~F.col("same_cell")
