@@ -82,6 +82,14 @@ def small_rows(kind: str, path: str, name: str, options: dict, lines: Lines | No
         dpg = [(g, f, a, c.array(e, a).reshape(-1, a.ncols)) for g, fields in c.dpg.items() for f, (e, a) in fields.items()] if name == "dpg" else []
         header = c.header
         n, v = (c.n_streamlines(), c.n_vertices()) if name == "header" else (0, 0)
+    elif kind != "tt" and name != "header":
+        return  # the others have no groups, and are not parsed for that
+    elif kind in STREAMED and lines is None:
+        n = v = 0
+        with opened(path) as f:
+            for positions, offsets in STREAMED[kind](f, options):
+                n, v = n + len(offsets) - 1, v + len(positions)
+        header = Header()
     else:
         lines = lines or parse(kind, path, options)
         from tractlake.model import Array
